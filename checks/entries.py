@@ -483,7 +483,12 @@ PAIRS += [
     Pair(
         "duplicate_report",
         lambda b: quality.duplicate_report(
-            b.vehicles(), b.companies(), b.hired_vehicles(), b.company_sales(), b.spendings()
+            b.vehicles(),
+            b.companies(),
+            b.hired_vehicles(),
+            b.company_sales(),
+            b.spendings(),
+            same_entry=("vehicle_id", "date", "category"),
         ),
         """
         SELECT * FROM (
@@ -492,9 +497,8 @@ PAIRS += [
           UNION ALL SELECT 'hired_vehicles.vehicle_no', vehicle_no, COUNT(*) FROM hired_vehicles GROUP BY vehicle_no
           UNION ALL SELECT 'company_sales.invoice_number', invoice_number, COUNT(*) FROM company_sales GROUP BY invoice_number
           UNION ALL SELECT 'spendings entry',
-                           CAST(vehicle_id AS STRING) || ' | ' || CAST(date AS STRING) || ' | ' || category || ' | '
-                           || COALESCE(reason, '') || ' | ' || CAST(amount AS STRING), COUNT(*)
-                    FROM spendings GROUP BY vehicle_id, date, category, reason, amount
+                           CAST(vehicle_id AS STRING) || ' | ' || CAST(date AS STRING) || ' | ' || category, COUNT(*)
+                    FROM spendings GROUP BY vehicle_id, date, category
         ) WHERE rows > 1""",
     ),
     Pair(

@@ -173,7 +173,7 @@ class Books:
     def keys(df: DataFrame) -> DataFrame:
         """A key list: every seventh id, and one that does not exist."""
         some = df.select("id").filter(F.col("id") % 7 == 0).distinct()
-        return some.union(df.sparkSession.range(1).select(F.lit(-1).cast("long")))
+        return some.union(df.sparkSession.range(1).select(-1 - F.col("id")))
 
     @staticmethod
     def _raw(df: DataFrame, date: str, amount: str, month: str | None, payer: str | None, blank: str) -> DataFrame:

@@ -74,11 +74,20 @@ def in_month(col: Column | str, month: dt.date | str) -> Column:
     return (c >= F.lit(first)) & (c < F.lit(following))
 
 
+# Four-digit year from 1 on, one- or two-digit month and day, nothing around them.
+_DAY_FORM = r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}\z"
+_MONTH_FORM = r"^(?!0000)\d{4}-\d{1,2}\z"
+
+
 def parse_day(col: Column) -> Column:
-    """Strict ``YYYY-MM-DD`` (one-digit month and day allowed); else NULL."""
-    return F.when(col.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(col, "yyyy-M-d"))
+    """Strict ``YYYY-MM-DD`` (one-digit month and day allowed); else NULL.
+
+    A cast is several times faster than a parse by pattern; the form test keeps
+    it from taking more than the pattern would.
+    """
+    return F.when(col.rlike(_DAY_FORM), col.try_cast("date"))
 
 
 def parse_month(col: Column) -> Column:
     """Strict ``YYYY-MM`` (one-digit month allowed) as day 1; else NULL."""
-    return F.when(col.rlike(r"^\d{4}-\d{1,2}$"), F.try_to_date(col, "yyyy-M"))
+    return F.when(col.rlike(_MONTH_FORM), F.concat(col, F.lit("-1")).try_cast("date"))

@@ -115,6 +115,10 @@ def fan_out_left_join(
     piece is repeated for the ``b`` right pieces and the reverse, so each pair
     meets exactly once, in one of ``a * b`` groups. Other keys keep one piece.
 
+    The list of hot keys is sent to every task, so neither side is moved before
+    the join itself. Its size is bounded: each hot key stands for more than
+    ``rows_per_piece`` input rows, so 10^12 rows give at most 10^6 of them.
+
     A repeated left row may find one of the right pieces empty. That copy is
     dropped: ``b > 1`` says the right side has the key, so the row has its
     matches in another piece. With ``b = 1`` an unmatched row is kept.
@@ -138,7 +142,7 @@ def fan_out_left_join(
         dealing = F.xxhash64(*[F.col(c) for c in df.columns if c not in keys])
         one = F.lit(1)
         return (
-            df.join(hot, keys, "left")
+            df.join(F.broadcast(hot), keys, "left")
             .withColumn(i, F.pmod(dealing, F.coalesce(own, one)).cast("int"))
             .withColumn(j, F.explode(F.sequence(F.lit(0), F.coalesce(other, one) - 1)))
         )

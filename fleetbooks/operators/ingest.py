@@ -2,18 +2,17 @@
 
 A raw frame holds text columns named as the entry form names its fields; a
 missing field is NULL; ``id`` and ``seq`` (the order of entry) are carried along
-where the frame has them. Each ``ingest_*`` gives ``Checked(accepted, rejected)``:
+where the frame has them. Each ``ingest_*`` gives a ``Checked`` with two frames:
 ``accepted`` has the table's columns and types, ``rejected`` the raw columns
 and ``reject_reason``, the first rule that failed. Rules look at one row only,
 so these functions also run on a streaming frame; the two that compare entries
 with each other (``ingest_vehicles``, ``ingest_companies``) need a batch.
-
-Both parts read the raw frame. Where that is expensive, write
-``Checked.verdicts`` once, partitioned by whether ``reject_reason`` is NULL.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -33,21 +32,43 @@ from fleetbooks.functions.text import (
     trimmed,
 )
 
+# A condition and what is said about an entry that meets it.
+Reason = tuple[Column, str]
+
 
 @dataclass(frozen=True)
 class Checked:
-    """Raw rows as ``raw``, parsed rows as ``row`` and ``reject_reason``."""
+    """Entries, the row each becomes, and what keeps one out.
+
+    ``fails`` decides; ``reasons`` only name the first failure, in the order
+    the form checks them, and are worked out for rejected entries alone. A
+    field that cannot be read parses to NULL, as a missing one does, so one
+    NULL test per field decides and the filter stays small enough for the JVM
+    to compile.
+    """
 
-    verdicts: DataFrame
+    entries: DataFrame
+    raw_columns: Sequence[str]
+    row: Mapping[str, Column]
+    fails: Sequence[Column]
+    reasons: Sequence[Reason]
+
+    @property
+    def _fails(self) -> Column:
+        return functools.reduce(operator.or_, self.fails)
 
     @property
     def accepted(self) -> DataFrame:
-        return self.verdicts.filter(F.col("reject_reason").isNull()).select("row.*")
+        return self.entries.filter(~self._fails).select(
+            *[c.alias(name) for name, c in self.row.items()]
+        )
 
     @property
     def rejected(self) -> DataFrame:
-        return self.verdicts.filter(F.col("reject_reason").isNotNull()).select(
-            "raw.*", "reject_reason"
+        first, *others = self.reasons
+        reason = functools.reduce(lambda r, rule: r.when(*rule), others, F.when(*first))
+        return self.entries.filter(self._fails).select(
+            *self.raw_columns, reason.alias("reject_reason")
         )
 
 
@@ -56,34 +77,36 @@ def _field(raw: DataFrame, name: str) -> Column:
     return F.col(name).cast("string") if name in raw.columns else F.lit(None).cast("string")
 
 
-def _missing(col: Column, name: str) -> Column:
-    return F.when(col.isNull() | (col == ""), f"missing {name}")
-
+def _empty(c: Column) -> Column:
+    return null_to_blank(c) == ""
 
-def _unusable(text: Column, parsed: Column, name: str) -> Column:
-    return F.when(text.isNotNull() & (text != "") & parsed.isNull(), f"bad {name}")
 
-
-def _carried(raw: DataFrame) -> list[Column]:
+def _carried(raw: DataFrame) -> dict[str, Column]:
     """Ids come with the data; they are not made here."""
-    return [F.col(c).try_cast("long").alias(c) for c in ("id", "seq") if c in raw.columns]
-
-
-def _structs(raw: DataFrame, row: Mapping[str, Column]) -> list[Column]:
-    parsed = [c.alias(name) for name, c in row.items()]
-    return [
-        F.struct(*[F.col(c) for c in raw.columns]).alias("raw"),
-        F.struct(*_carried(raw), *parsed).alias("row"),
-    ]
+    return {c: F.col(c).try_cast("long") for c in ("id", "seq") if c in raw.columns}
 
 
-def _check(raw: DataFrame, row: Mapping[str, Column], reasons: Sequence[Column]) -> Checked:
-    return Checked(
-        raw.select(
-            *_structs(raw, row),
-            F.coalesce(*reasons, F.lit(None).cast("string")).alias("reject_reason"),
-        )
-    )
+def _check(
+    raw: DataFrame,
+    row: Mapping[str, Column],
+    required: Mapping[str, Column],
+    optional: Mapping[str, Column] | None = None,
+    fails: Mapping[str, Column] | None = None,
+    reasons: Sequence[Reason] = (),
+) -> Checked:
+    """``required`` and ``optional`` are texts of fields; one that ``row`` holds
+    in another form must be readable. ``fails`` replaces a field's own test or,
+    under a new name, adds one; ``reasons`` come after those for missing and
+    bad fields."""
+    optional = optional or {}
+    parsed = [name for name, c in required.items() if row[name] is not c]
+    tests = {name: row[name].isNull() if name in parsed else _empty(c) for name, c in required.items()}
+    tests |= {name: c.isNotNull() & row[name].isNull() for name, c in optional.items()}
+    tests |= fails or {}
+    said = [(_empty(c), f"missing {name}") for name, c in required.items()]
+    said += [(row[name].isNull(), f"bad {name}") for name in parsed]
+    said += [(c.isNotNull() & row[name].isNull(), f"bad {name}") for name, c in optional.items()]
+    return Checked(raw, raw.columns, {**_carried(raw), **row}, list(tests.values()), [*said, *reasons])
 
 
 # --- spendings --------------------------------------------------------------
@@ -128,12 +151,6 @@ def _spending_fields(raw: DataFrame) -> dict[str, Column]:
     }
 
 
-def _spending_reasons(text: Mapping[str, Column], row: Mapping[str, Column]) -> list[Column]:
-    missing = [_missing(text[name], name) for name in text]
-    bad = [_unusable(text[name], row[name], name) for name in text if name != "category"]
-    return missing + bad
-
-
 def ingest_spendings(raw: DataFrame, form_rules: bool = True) -> Checked:
     """New spendings.
 
@@ -154,13 +171,17 @@ def ingest_spendings(raw: DataFrame, form_rules: bool = True) -> Checked:
         "mode": blank_to_null(_field(raw, "mode")),
         "marked": F.lit(False),
     }
-    reasons = _spending_reasons(text, row)
-    if form_rules:
-        reasons.append(F.when(row["amount"] <= 0, "amount not above zero"))
-        reasons.append(
-            F.when((row["category"] == CATEGORY_OTHERS) & (row["reason"] == ""), "missing reason")
-        )
-    return _check(raw, row, reasons)
+    if not form_rules:
+        return _check(raw, row, text)
+    no_reason = (row["category"] == CATEGORY_OTHERS) & (row["reason"] == "")
+    not_above_zero = ~F.coalesce(row["amount"] > 0, F.lit(False))
+    return _check(
+        raw,
+        row,
+        text,
+        fails={"amount": not_above_zero, "reason": no_reason},
+        reasons=[(not_above_zero, "amount not above zero"), (no_reason, "missing reason")],
+    )
 
 
 def spending_edits(raw: DataFrame) -> Checked:
@@ -182,7 +203,7 @@ def spending_edits(raw: DataFrame) -> Checked:
         "spended_by": F.when(both, payer),
         "mode": F.when(both, mode),
     }
-    return _check(raw, row, _spending_reasons(text, row))
+    return _check(raw, row, text)
 
 
 # --- payments and advances --------------------------------------------------
@@ -200,9 +221,7 @@ def ingest_payments(raw: DataFrame) -> Checked:
         "company_id": ids["company_id"].try_cast("long"),
         "vehicle_id": ids["vehicle_id"].try_cast("long"),
     }
-    reasons = [_missing(text[name], name) for name in text]
-    reasons += [_unusable(t, row[name], name) for name, t in {**text, **ids}.items()]
-    return _check(raw, row, reasons)
+    return _check(raw, row, text, optional=ids)
 
 
 def ingest_advances(raw: DataFrame) -> Checked:
@@ -214,33 +233,18 @@ def ingest_advances(raw: DataFrame) -> Checked:
         "amount": parse_amount(text["amount"]),
         "purpose": null_to_blank(_field(raw, "purpose")),
     }
-    reasons = [_missing(text[name], name) for name in text]
-    reasons += [_unusable(text[name], row[name], name) for name in ("date", "amount")]
-    return _check(raw, row, reasons)
+    return _check(raw, row, text)
 
 
 # --- hired vehicles and companies -------------------------------------------
 
 
-def _dated_entry(
-    raw: DataFrame,
-    row: dict[str, Column],
-    required: Mapping[str, Column],
-    parsed: Sequence[str],
-) -> Checked:
-    reasons = [_missing(c, name) for name, c in required.items()]
-    reasons += [_unusable(required[name], row[name], name) for name in parsed]
-    return _check(raw, row, reasons)
-
-
 def ingest_hired_txn(raw: DataFrame) -> Checked:
     """New transactions of hired vehicles, and edits of them when the raw frame
     has no ``hired_vehicle_id`` (an edit leaves the vehicle alone)."""
     names = ["transaction_type", "transaction_date", "month_year", "amount"]
-    numbers = ["transaction_date", "month_year", "amount"]
     if "hired_vehicle_id" in raw.columns:
         names.insert(0, "hired_vehicle_id")
-        numbers.insert(0, "hired_vehicle_id")
     text = {name: _field(raw, name) for name in names}
     row: dict[str, Column] = {}
     if "hired_vehicle_id" in text:
@@ -253,7 +257,7 @@ def ingest_hired_txn(raw: DataFrame) -> Checked:
         "description": trimmed(null_to_blank(_field(raw, "description"))),
         "reference_no": trimmed(null_to_blank(_field(raw, "reference_no"))),
     }
-    return _dated_entry(raw, row, text, numbers)
+    return _check(raw, row, text)
 
 
 def ingest_company_sales(raw: DataFrame) -> Checked:
@@ -268,7 +272,7 @@ def ingest_company_sales(raw: DataFrame) -> Checked:
         "description": trimmed(null_to_blank(_field(raw, "description"))),
         "month_year": parse_month(text["month_year"]),
     }
-    return _dated_entry(raw, row, text, ("sale_date", "sale_amount", "month_year"))
+    return _check(raw, row, text)
 
 
 def ingest_company_payments(raw: DataFrame) -> Checked:
@@ -287,7 +291,7 @@ def ingest_company_payments(raw: DataFrame) -> Checked:
         "description": trimmed(null_to_blank(_field(raw, "description"))),
         "month_year": parse_month(text["month_year"]),
     }
-    return _dated_entry(raw, row, text, ("payment_date", "received_amount", "month_year"))
+    return _check(raw, row, text)
 
 
 # --- names that must be new -------------------------------------------------
@@ -309,18 +313,17 @@ def _new_names(
     raw: DataFrame, base: DataFrame, key: str, seq: str, name: Column, row: Mapping[str, Column]
 ) -> Checked:
     """Entries whose name is neither empty, nor known, nor entered before in the batch."""
-    entries = raw.select(
-        *_structs(raw, row), name.alias("__name"), F.col(seq).alias("__seq")
-    )
-    first = entries.groupBy("__name").agg(F.min("__seq").alias("__first"))
+    entries = raw.withColumn("__name", name)
+    first = entries.groupBy("__name").agg(F.min(seq).alias("__first"))
     known = base.select(F.col(key).alias("__name")).distinct().withColumn("__known", F.lit(True))
-    reason = (
-        F.when(F.col("__name").isNull() | (F.col("__name") == ""), f"missing {key}")
-        .when(F.col("__known"), f"{key} already exists")
-        .when(F.col("__seq") > F.col("__first"), f"{key} repeated in the batch")
-    )
     joined = entries.join(first, "__name", "left").join(known, "__name", "left")
-    return Checked(joined.select("raw", "row", reason.alias("reject_reason")))
+    reasons = [
+        (_empty(F.col("__name")), f"missing {key}"),
+        (F.col("__known").isNotNull(), f"{key} already exists"),
+        (F.col(seq) > F.col("__first"), f"{key} repeated in the batch"),
+    ]
+    fails = [F.coalesce(c, F.lit(False)) for c, _ in reasons]
+    return Checked(joined, raw.columns, {**_carried(raw), **row}, fails, reasons)
 
 
 def ingest_vehicles(raw: DataFrame, veh: DataFrame, seq: str = "id") -> Checked:

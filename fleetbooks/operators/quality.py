@@ -18,13 +18,20 @@ def duplicates(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
 
 
+SAME_ENTRY = ("vehicle_id", "date", "category", "reason", "amount")
+
+
 def duplicate_report(
-    veh: DataFrame, comp: DataFrame, hv: DataFrame, sales: DataFrame, sp: DataFrame
+    veh: DataFrame,
+    comp: DataFrame,
+    hv: DataFrame,
+    sales: DataFrame,
+    sp: DataFrame,
+    same_entry: Sequence[str] = SAME_ENTRY,
 ) -> DataFrame:
     """Everything that should be unique and is not, as (check, value, rows).
 
-    A spending counts as entered twice when vehicle, date, category, reason
-    and amount all agree.
+    A spending counts as entered twice when all columns of ``same_entry`` agree.
     """
 
     def found(check: str, df: DataFrame, *cols: Column) -> DataFrame:
@@ -35,7 +42,7 @@ def duplicate_report(
         return duplicates(keyed, names).select(F.lit(check).alias("check"), value, "rows")
 
     invoices = sales.filter(F.col("invoice_number").isNotNull())
-    entry = [F.col(c) for c in ("vehicle_id", "date", "category", "reason", "amount")]
+    entry = [F.col(c) for c in same_entry]
     return stacked(
         found("vehicles.vehicle_no", veh, F.col("vehicle_no")),
         found("companies.name", comp, F.col("name")),
