@@ -1,0 +1,135 @@
+import datetime as dt
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from fleetbooks.functions import dates, labels, money, predicates, text
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("v")).collect()[0].v
+
+
+def test_month_helpers(spark):
+    as_of = dt.date(2024, 8, 31)
+    assert one(spark, dates.current_month(as_of)) == dt.date(2024, 8, 1)
+    assert one(spark, dates.previous_month(as_of)) == dt.date(2024, 7, 1)
+    assert one(spark, dates.previous_month("2024-01-15")) == dt.date(2023, 12, 1)
+    assert one(spark, dates.days_before(as_of, 30)) == dt.date(2024, 8, 1)
+    assert one(spark, dates.months_before(as_of, 6)) == dt.date(2024, 2, 29)
+    assert one(spark, dates.month_label(dates.day(as_of))) == "2024-08"
+    assert one(spark, dates.day_label(dates.day(as_of))) == "2024-08-31"
+
+
+def test_report_month_defaults_to_the_month_of_as_of():
+    assert dates.report_month(None, "2024-08-31") == dt.date(2024, 8, 1)
+    assert dates.report_month("2023-2", "2024-08-31") == dt.date(2023, 2, 1)
+    assert dates.report_month(dt.date(2023, 2, 9), "2024-08-31") == dt.date(2023, 2, 1)
+    assert dates.as_date(dt.datetime(2024, 1, 2, 3)) == dt.date(2024, 1, 2)
+
+
+@pytest.mark.parametrize("month", [dt.date(2024, 1, 1), dt.date(2023, 12, 1), dt.date(2024, 2, 1)])
+def test_in_month_equals_the_label_test(spark, month):
+    days = spark.range(120).select(F.date_add(F.lit(dt.date(2023, 11, 15)), F.col("id").cast("int")).alias("d"))
+    by_label = days.filter(dates.month_label("d") == f"{month:%Y-%m}").collect()
+    assert sorted(days.filter(dates.in_month("d", month)).collect()) == sorted(by_label)
+
+
+@pytest.mark.parametrize(
+    "value, expected",
+    [("5", "5.00"), ("1.005", "1.01"), ("1e3", "1000.00"), (" 7 ", "7.00"), ("abc", None), ("", None), ("1,5", None)],
+)
+def test_parse_amount(spark, value, expected):
+    got = one(spark, money.parse_amount(F.lit(value)))
+    assert got == expected if expected is None else str(got) == expected
+
+
+def test_money_text_is_exact(spark):
+    big = F.lit("12345678901234567.89").cast("decimal(22,2)")
+    assert one(spark, money.money_text(big)) == "12345678901234567.89"
+    assert one(spark, money.money_text(F.lit(5).cast("decimal(12,2)"))) == "5.00"
+
+
+@pytest.mark.parametrize(
+    "value, expected",
+    [
+        ("bank_transfer", "Bank_transfer"),
+        ("HALF-paid cash", "Half-Paid Cash"),
+        ("a (bc) {d", "A (Bc) {D"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_title_case(spark, value, expected):
+    assert one(spark, labels.title_case(F.lit(value).cast("string"))) == expected
+
+
+def test_display_labels(spark):
+    lit = F.lit
+    assert one(spark, labels.mode_label(lit("bank_transfer_x"))) == "BANK TRANSFER_X"
+    assert one(spark, labels.shown(lit(""))) == "-"
+    assert one(spark, labels.shown(lit(None).cast("string"), "Unpaid")) == "Unpaid"
+    assert one(spark, labels.pending_class(lit(0))) == "success"
+    assert one(spark, labels.pending_class(lit(1))) == "warning"
+    assert one(spark, labels.hired_balance_class(lit(0))) == "danger"
+    assert one(spark, labels.balance_label(lit(0))) == "Settled"
+
+
+def test_text_rules(spark):
+    null = F.lit(None).cast("string")
+    assert one(spark, text.blank_to_null(F.lit(" \t"))) is None
+    assert one(spark, text.null_to_blank(null)) == ""
+    assert one(spark, text.flipped(F.lit(None).cast("boolean"))) is True
+    assert one(spark, text.flipped(F.lit(True))) is False
+    assert one(spark, text.with_dated_note(null, "Settled", F.lit(dt.date(2024, 1, 2)))) == " - Settled on 2024-01-02"
+    assert one(spark, text.new_or_listed(F.lit("_new"), F.lit(" x "))) == "x"
+
+
+def test_predicates_on_every_null_combination(spark):
+    df = spark.createDataFrame(
+        [("P", "UPI"), ("P", None), (None, "UPI"), (None, None), ("", "")], "spended_by string, mode string"
+    )
+    got = df.select(
+        predicates.is_paid(), predicates.is_unpaid(), predicates.is_touched(), predicates.has_text("spended_by")
+    ).collect()
+    assert [tuple(r) for r in got] == [
+        (True, False, True, True),
+        (False, True, True, True),
+        (False, True, True, False),
+        (False, True, False, False),
+        (True, False, True, False),
+    ]
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.text(alphabet=" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0 　abé中", max_size=8), min_size=50, max_size=50))
+def test_trimmed_equals_strip(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    assert [r[0] for r in df.select(text.trimmed("v")).collect()] == [v.strip() for v in values]
+
+
+def _strptime(value, form):
+    try:
+        return dt.datetime.strptime(value, form).date()
+    except ValueError:
+        return None
+
+
+@settings(max_examples=5, deadline=None)
+@given(
+    st.lists(
+        st.one_of(
+            st.from_regex(r"\A[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\Z"),
+            st.from_regex(r"\A[0-9]{3,5}-[0-9]{1,3}-[0-9]{0,3}\Z"),
+            st.from_regex(r"\A[0-9]{4}-[0-9]{1,2}\Z"),
+        ),
+        min_size=100,
+        max_size=100,
+    )
+)
+def test_parsing_takes_what_strptime_takes(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = df.select(dates.parse_day(F.col("v")), dates.parse_month(F.col("v"))).collect()
+    assert [tuple(r) for r in got] == [(_strptime(v, "%Y-%m-%d"), _strptime(v, "%Y-%m")) for v in values]

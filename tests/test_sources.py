@@ -1,0 +1,134 @@
+import csv
+import datetime as dt
+import glob
+import json
+
+import pytest
+from pyspark.errors import AnalysisException
+
+from fleetbooks.operators import fleet
+from fleetbooks.plans import exports
+from fleetbooks.sources import schemas, sinks, tables
+from tests.seed import Seed, rows, spending, table
+
+
+@pytest.fixture(scope="module")
+def seed(spark):
+    return Seed(spark)
+
+
+def lines(path):
+    out = []
+    for part in sorted(glob.glob(f"{path}/part-*")):
+        with open(part, newline="", encoding="utf-8") as f:
+            out.append(f.read())
+    return out
+
+
+def test_tables_round_trip_by_month(spark, seed, tmp_path):
+    root = str(tmp_path / "v1")
+    sinks.write_table(seed.spendings, root, "spendings")
+    sinks.write_table(seed.vehicles, root, "vehicles")
+    sp = tables.load(spark, root, "spendings")
+    assert set(sp.columns) == set(schemas.SCHEMAS["spendings"].names)
+    assert sorted(rows(sp, *seed.spendings.columns)) == sorted(rows(seed.spendings))
+    assert rows(fleet.month_by_vehicle(sp, tables.load(spark, root, "vehicles"), "2024-02"))[0] == ("3393", 13200.0)
+
+
+def test_a_version_is_never_overwritten(spark, seed, tmp_path):
+    root = str(tmp_path / "v1")
+    sinks.write_table(seed.vehicles, root, "vehicles")
+    with pytest.raises(AnalysisException):
+        sinks.write_table(seed.vehicles, root, "vehicles")
+
+
+def test_listing_and_choices(seed):
+    assert rows(tables.listing(seed.vehicles, "vehicles"), "vehicle_no") == [("202",), ("3393",), ("407",), ("505",)]
+    dates = [d for (d,) in rows(tables.listing(seed.payments, "payments"), "date")]
+    assert dates == sorted(dates, reverse=True)
+    assert rows(tables.choices(seed.companies, "id", "name"))[0] == (1, "ABC Transport")
+
+
+def test_csv_as_the_export_files_have_it(spark, tmp_path):
+    sp = table(
+        spark,
+        "spendings",
+        [
+            spending(1, reason='say "hi", ok', amount="5"),
+            spending(2, reason="", date="2024-01-14"),
+            spending(3, reason=" padded ", date="2024-01-13"),
+            spending(4, reason=None, date="2024-01-12"),
+        ],
+    )
+    veh = table(spark, "vehicles", [{"id": 1, "vehicle_no": "X"}])
+    path = str(tmp_path / "out")
+    df = exports.export_paid_spendings(sp, veh)
+    sinks.write_csv(df.coalesce(1), path)
+    (content,) = lines(path)
+    parsed = list(csv.reader(content.splitlines()))
+    assert parsed[0] == ["date", "vehicle_no", "category", "reason", "amount", "spended_by", "mode"]
+    assert [r[3] for r in parsed[1:]] == ['say "hi", ok', "", " padded ", ""]
+    assert parsed[1][0] == "2024-01-15" and parsed[1][4] == "5.00"
+    assert '"say ""hi"", ok"' in content and '""' not in content.splitlines()[2]
+    # the same cells without a file
+    assert [r[3] for r in rows(sinks.csv_ready(df))] == [r[3] for r in parsed[1:]]
+
+
+def test_csv_time_stamps(spark, tmp_path):
+    veh = table(spark, "vehicles", [{"id": 1, "vehicle_no": "X", "created_at": dt.datetime(2024, 1, 2, 3, 4, 5)}])
+    path = str(tmp_path / "out")
+    sinks.write_csv(exports.export_vehicles(veh).coalesce(1), path)
+    assert lines(path)[0].splitlines()[1] == "X,,,2024-01-02 03:04:05"
+    assert rows(sinks.csv_ready(exports.export_vehicles(veh))) == [("X", "", "", "2024-01-02 03:04:05")]
+
+
+def test_json_records_name_every_field(spark, seed, tmp_path):
+    path = str(tmp_path / "out")
+    sinks.write_json(fleet.vehicle_spendings(seed.spendings, 3).coalesce(1), path)
+    first, second = [json.loads(x) for x in lines(path)[0].splitlines()]
+    assert second["date"] == "2024-01-05" and second["amount"] == 4800.0
+    assert second["spended_by"] is None and "created_at" in second
+    assert first["expense_month"] == "2024-02-01"
+
+
+class FakeReader:
+    """Stands in for spark.read: records what a JDBC read would be asked."""
+
+    def __init__(self):
+        self.asked = {}
+
+    def jdbc(self, url, table, predicates, properties):
+        self.asked = {"url": url, "table": table, "predicates": predicates, **properties}
+
+    def format(self, name):
+        self.asked["format"] = name
+        return self
+
+    def option(self, key, value):
+        self.asked[key] = value
+        return self
+
+    def options(self, **kw):
+        self.asked |= kw
+        return self
+
+    def load(self):
+        return self.asked
+
+
+class FakeSpark:
+    def __init__(self):
+        self.read = FakeReader()
+
+
+def test_jdbc_reads_are_split():
+    fake = FakeSpark()
+    options = {"url": "jdbc:postgresql://host/db", "user": "u"}
+    asked = tables.load_jdbc(fake, "spendings", options, split_on="id", bounds=(1, 100), pieces=4)
+    assert asked["partitionColumn"] == "id" and asked["numPartitions"] == "4"
+    assert asked["upperBound"] == "100" and asked["sslmode"] == "prefer" and asked["dbtable"] == "spendings"
+    months = ["expense_month = '2024-01-01'", "expense_month = '2024-02-01'"]
+    tables.load_jdbc(fake, "spendings", {**options, "sslmode": "require"}, predicates=months)
+    assert fake.read.asked["predicates"] == months and fake.read.asked["sslmode"] == "require"
+    with pytest.raises(ValueError):
+        tables.load_jdbc(fake, "spendings", options, split_on="id")
