@@ -97,6 +97,15 @@ PAIRS = [
         lambda b: companies.company_summary(b.company_sales(), b.company_payments()),
         SUMMARY,
     ),
+    Pair(
+        "company_summary_labelled",
+        lambda b: labelled.company_summary_labelled(b.company_sales(), b.company_payments()),
+        f"""SELECT company_name, printf('%.2f', total_sales) AS total_sales,
+                   printf('%.2f', total_received) AS total_received, printf('%.2f', pending_amount) AS pending_amount,
+                   CASE WHEN pending_amount > 0 THEN 'warning' ELSE 'success' END AS pending_class,
+                   COALESCE(last_sale_date, '-') AS last_sale, COALESCE(last_payment_date, '-') AS last_payment
+            FROM ({SUMMARY})""",
+    ),
     Pair(
         "company_month",
         lambda b: companies.company_month(b.company_sales(month=M), b.company_payments(month=M), M),

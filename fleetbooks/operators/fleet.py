@@ -37,6 +37,8 @@ def with_vehicle(sp: DataFrame, veh: DataFrame) -> DataFrame:
 
 
 def _listed(df: DataFrame, ordered: bool) -> DataFrame:
+    """A total order is a shuffle of all rows, and Spark runs the plan below it
+    once more to find the ranges; ``ordered=False`` leaves it out."""
     return newest_first(df, "date") if ordered else df
 
 
@@ -106,11 +108,13 @@ def latest_spendings(sp: DataFrame, veh: DataFrame, n: int = 5) -> DataFrame:
     return newest_first(rows, "expense_month", "date", total=True).limit(n)
 
 
-def payments_detail(pay: DataFrame, comp: DataFrame, veh: DataFrame) -> DataFrame:
+def payments_detail(
+    pay: DataFrame, comp: DataFrame, veh: DataFrame, ordered: bool = True
+) -> DataFrame:
     """Payments with company name and vehicle number where they have them."""
     companies = comp.select(F.col("id").alias("company_id"), F.col("name").alias("company_name"))
     rows = pay.join(companies, "company_id", "left").join(_vehicle_names(veh), "vehicle_id", "left")
-    return newest_first(in_order(rows, pay.columns), "date")
+    return _listed(in_order(rows, pay.columns), ordered)
 
 
 def available_months(sp: DataFrame) -> DataFrame:

@@ -88,3 +88,34 @@ def hired_summary_labelled(hv: DataFrame, t: DataFrame) -> DataFrame:
         money_text(balance).alias("balance"),
         labels.hired_balance_class(balance).alias("balance_class"),
     )
+
+
+def recent_hired_txn_labelled(hv: DataFrame, t: DataFrame, n: int = 50) -> DataFrame:
+    sale = F.col("transaction_type") == hired.SALE
+    return hired.recent_hired_txn(hv, t, n).select(
+        "transaction_date",
+        "vehicle_no",
+        labels.title_case("transaction_type").alias("type"),
+        F.when(sale, "success").otherwise("danger").alias("type_class"),
+        labels.shown("description").alias("description"),
+        money_text("amount").alias("amount"),
+        labels.shown("reference_no").alias("reference_no"),
+    )
+
+
+def company_summary_labelled(sales: DataFrame, pays: DataFrame) -> DataFrame:
+    return companies.company_summary(sales, pays).select(
+        "company_name",
+        money_text("total_sales").alias("total_sales"),
+        money_text("total_received").alias("total_received"),
+        money_text("pending_amount").alias("pending_amount"),
+        labels.pending_class("pending_amount").alias("pending_class"),
+        labels.shown("last_sale_date").alias("last_sale"),
+        labels.shown("last_payment_date").alias("last_payment"),
+    )
+
+
+def advances_labelled(adv: DataFrame) -> DataFrame:
+    return newest_first(adv, "date").select(
+        "date", "employee_name", money_text("amount").alias("amount"), labels.shown("purpose").alias("purpose")
+    )

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Settings the operators count on. All but the timezone and the partition
-# number are Spark's defaults, listed so that nobody turns them off: skewed
-# joins are split at run time, small shuffle partitions are merged, and a side
-# is broadcast only when its measured size is below Spark's threshold.
+# Settings the operators count on. Most are Spark's defaults, listed so that
+# nobody turns them off: skewed joins are split at run time, small shuffle
+# partitions are merged, and a side is broadcast only when its size, estimated
+# or measured, is below the threshold. spark.checkpoint.dir is the cluster's;
+# nothing here sets or needs it, as no operator iterates.
 CLUSTER_CONF: dict[str, str] = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -15,6 +16,8 @@ CLUSTER_CONF: dict[str, str] = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Key lists and vehicle lists of up to about a million rows.
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
     # Many initial partitions; the ones that turn out small are merged.
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
