@@ -41,12 +41,27 @@ def by_name(df: DataFrame, *names: str) -> DataFrame:
     return df.orderBy(*keys, *_tie_break(df, names, False))
 
 
-def recent(df: DataFrame, date: str, n: int = 20) -> DataFrame:
-    """The ``n`` newest rows; ties are settled by all other columns.
+def since_nth_newest(
+    df: DataFrame, n: int, date: str, among: DataFrame | None = None
+) -> DataFrame:
+    """Rows of ``df`` that reach the ``n``-th newest ``date`` of ``among``.
+
+    The date is found from that one column (a merged top-n, not a sort) and
+    given to the scan of ``df``, which then skips older row groups or month
+    directories. NULL counts as newest; with fewer than ``n`` dates all rows stay.
+    """
+    c = F.col(date)
+    newest = (df if among is None else among).select(c).orderBy(c.desc_nulls_first()).limit(n)
+    reached = newest.agg(F.min(c)).scalar()
+    return df.filter(c.isNull() | (c >= reached))
+
+
+def recent(df: DataFrame, n: int, *dates: str) -> DataFrame:
+    """The ``n`` newest rows by ``dates``; ties are settled by all other columns.
 
-    Runs as a per-partition top-n that is merged, not as a full sort.
+    Only rows that reach the ``n``-th newest date are read in full.
     """
-    return newest_first(df, date, total=True).limit(n)
+    return newest_first(since_nth_newest(df, n, dates[0]), *dates, total=True).limit(n)
 
 
 def key_frame(like: DataFrame, ids: DataFrame | Sequence[int], key: str = "id") -> DataFrame:

@@ -35,11 +35,11 @@ def company_names(sales: DataFrame, pays: DataFrame) -> DataFrame:
 
 
 def recent_sales(sales: DataFrame, n: int = 20) -> DataFrame:
-    return recent(sales, "sale_date", n)
+    return recent(sales, n, "sale_date")
 
 
 def recent_company_payments(pays: DataFrame, n: int = 20) -> DataFrame:
-    return recent(pays, "payment_date", n)
+    return recent(pays, n, "payment_date")
 
 
 def _stacked(sales: DataFrame, pays: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ from fleetbooks.operators.common import (
     by_name,
     in_order,
     newest_first,
+    recent,
+    since_nth_newest,
     stacked,
 )
 
@@ -104,8 +106,7 @@ def latest_spendings(sp: DataFrame, veh: DataFrame, n: int = 5) -> DataFrame:
         "spended_by",
         "mode",
     ]
-    rows = with_vehicle(sp, veh).select(cols)
-    return newest_first(rows, "expense_month", "date", total=True).limit(n)
+    return recent(with_vehicle(sp, veh).select(cols), n, "expense_month", "date")
 
 
 def payments_detail(
@@ -283,8 +284,15 @@ def expense_summary(
     """All spendings per month: by vehicle and category, by vehicle, or overall.
 
     Grouped by date and shown by label. ``n`` keeps the first rows, with ties
-    settled by every shown column.
+    settled by every shown column. The first ``n`` rows lie in the ``n`` newest
+    months, each of which has a row or more, so only those are added up.
     """
+    if by not in (BY_CATEGORY, BY_VEHICLE, BY_MONTH):
+        raise ValueError(f"unknown summary: {by}")
+    if n is not None:
+        seen = sp if by == BY_MONTH else sp.join(_vehicle_names(veh), "vehicle_id", "left_semi")
+        months = seen.select("expense_month").distinct()
+        sp = since_nth_newest(sp, n, "expense_month", among=months)
     month = dates.month_label("expense_month").alias("month")
     if by == BY_MONTH:
         rows = sp.groupBy("expense_month").agg(
@@ -295,15 +303,13 @@ def expense_summary(
         per_id = sp.groupBy("expense_month", "vehicle_id").agg(F.sum("amount").alias("monthly_total"))
         rows = per_id.join(_vehicle_names(veh), "vehicle_id")
         shown, amount = [month, "vehicle_id", "vehicle_no", "monthly_total"], "monthly_total"
-    elif by == BY_CATEGORY:
+    else:
         per_id = sp.groupBy("expense_month", "vehicle_id", "category").agg(
             F.sum("amount").alias("total_amount"), F.count(F.lit(1)).alias("transaction_count")
         )
         rows = per_id.join(_vehicle_names(veh), "vehicle_id")
         shown = [month, "vehicle_id", "vehicle_no", "category", "total_amount", "transaction_count"]
         amount = "total_amount"
-    else:
-        raise ValueError(f"unknown summary: {by}")
     newest = newest_first(rows, "expense_month", amount, total=True)
     return (newest if n is None else newest.limit(n)).select(*shown)
 

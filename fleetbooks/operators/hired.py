@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetbooks.functions import dates, money
-from fleetbooks.operators.common import by_ids, by_name, in_order, newest_first
+from fleetbooks.operators.common import by_ids, by_name, in_order, recent
 
 Month = dt.date | str
 
@@ -26,7 +26,7 @@ def with_hired(t: DataFrame, hv: DataFrame) -> DataFrame:
 
 def recent_hired_txn(hv: DataFrame, t: DataFrame, n: int = 50) -> DataFrame:
     """The ``n`` newest transactions; ties are settled by all other columns."""
-    return newest_first(with_hired(t, hv), "transaction_date", "created_at", total=True).limit(n)
+    return recent(with_hired(t, hv), n, "transaction_date", "created_at")
 
 
 def hired_detail(t: DataFrame, vehicle_id: int, month: Month) -> DataFrame:

@@ -161,6 +161,20 @@ def test_expense_summaries(seed):
         fleet.expense_summary(sp, veh, "weekly")
 
 
+@pytest.mark.parametrize("by", [fleet.BY_MONTH, fleet.BY_VEHICLE, fleet.BY_CATEGORY])
+def test_first_rows_of_a_summary(spark, seed, by):
+    """Months without a known vehicle have no row and must not use up the n."""
+    months = [None, "2024-05-01", "2024-04-01", "2024-04-01", "2024-03-01", "2024-02-01"]
+    sp = table(
+        spark,
+        "spendings",
+        [spending(i, expense_month=m, vehicle_id=99 if i in (1, 2) else 1) for i, m in enumerate(months)],
+    )
+    everything = rows(fleet.expense_summary(sp, seed.vehicles, by))
+    for n in (1, 2, 3, 9):
+        assert rows(fleet.expense_summary(sp, seed.vehicles, by, n)) == everything[:n]
+
+
 def test_lists_are_newest_first(seed):
     dates = [d for (d,) in rows(fleet.paid_spendings(seed.spendings, seed.vehicles), "date")]
     assert dates == sorted(dates, reverse=True)
@@ -211,11 +225,26 @@ def test_ref_counts(seed):
 
 def test_recent_is_settled_by_all_columns(spark):
     sp = table(spark, "spendings", [spending(i, amount=str(i)) for i in range(20)])
-    first = rows(recent(sp.repartition(7), "date", 5), "id")
-    again = rows(recent(sp.repartition(3).orderBy(F.rand(1)), "date", 5), "id")
+    first = rows(recent(sp.repartition(7), 5, "date"), "id")
+    again = rows(recent(sp.repartition(3).orderBy(F.rand(1)), 5, "date"), "id")
     assert first == again == [(i,) for i in range(5)]
 
 
+def test_recent_with_null_dates_and_short_tables(spark):
+    months = [None, "2024-01-01", None, "2024-03-01", "2024-02-01", "2024-02-01"]
+    sp = table(spark, "spendings", [spending(i, expense_month=m) for i, m in enumerate(months)])
+    take = lambda n: [i for (i,) in rows(recent(sp, n, "expense_month", "date"), "id")]
+    assert [take(n) for n in (1, 2, 3, 4, 6, 99)] == [
+        [0],
+        [0, 2],
+        [0, 2, 3],
+        [0, 2, 3, 4],
+        [0, 2, 3, 4, 5, 1],
+        [0, 2, 3, 4, 5, 1],
+    ]
+    assert rows(recent(sp.filter("id > 99"), 5, "date")) == []
+
+
 def test_paid_and_unpaid_split_the_table(seed):
     sp, veh = seed.spendings, seed.vehicles
     paid, unpaid = rows(fleet.paid_unpaid_totals(sp))[0]

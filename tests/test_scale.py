@@ -47,6 +47,17 @@ def test_top_n_is_not_a_full_sort(spark, key):
     assert "TakeOrderedAndProject" in text and "rangepartitioning" not in text
 
 
+def test_only_the_newest_month_is_read_in_full(spark, tmp_path):
+    root = str(tmp_path / "books")
+    b = Books(spark, SF)
+    sinks.write_table(b.spendings(), root, "spendings")
+    sp = tables.load(spark, root, "spendings")
+    df = fleet.latest_spendings(sp, b.vehicles())
+    assert [r[0] for r in rows(df)] == [r[0] for r in rows(fleet.latest_spendings(b.spendings(), b.vehicles()))]
+    final = plan(df).split("Initial Plan")[0]
+    assert re.search(r"PartitionFilters: \[[^\]]*expense_month[^\]]*>= Subquery", final)
+
+
 def test_sorted_lists_cost_nothing_under_an_aggregate(spark):
     b = Books(spark, SF)
     text = plan(fleet.paid_spendings(b.spendings(), b.vehicles()).groupBy("category").count())
