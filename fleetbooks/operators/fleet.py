@@ -182,12 +182,12 @@ def dashboard_totals(veh: DataFrame, pay: DataFrame, sp: DataFrame, as_of: Month
     )
 
 
-def _by_month_and_vehicle(sp: DataFrame, veh: DataFrame, total: str) -> DataFrame:
-    """SUM per (expense_month, vehicle_no), joined after adding up by vehicle_id."""
-    per_id = sp.groupBy("expense_month", "vehicle_id").agg(F.sum("amount").alias("part"))
+def _sum_by_vehicle(sp: DataFrame, veh: DataFrame, total: str, *keys: str) -> DataFrame:
+    """SUM per (``keys``, vehicle_no), joined after adding up by vehicle_id."""
+    per_id = sp.groupBy(*keys, "vehicle_id").agg(F.sum("amount").alias("part"))
     return (
         per_id.join(_vehicle_names(veh), "vehicle_id")
-        .groupBy("expense_month", "vehicle_no")
+        .groupBy(*keys, "vehicle_no")
         .agg(F.sum("part").alias(total))
     )
 
@@ -195,17 +195,13 @@ def _by_month_and_vehicle(sp: DataFrame, veh: DataFrame, total: str) -> DataFram
 def month_by_vehicle(sp: DataFrame, veh: DataFrame, month: Month) -> DataFrame:
     """Spent per vehicle in one month, largest first."""
     rows = sp.filter(F.col("expense_month") == dates.day(month))
-    totals = _by_month_and_vehicle(rows, veh, "monthly_total")
-    return newest_first(totals.select("vehicle_no", "monthly_total"), "monthly_total", total=True)
+    return newest_first(_sum_by_vehicle(rows, veh, "monthly_total"), "monthly_total", total=True)
 
 
 def month_vehicle_expenses(sp: DataFrame, veh: DataFrame, month: Month) -> DataFrame:
     """As ``month_by_vehicle``, with the month's label."""
-    rows = sp.filter(F.col("expense_month") == dates.day(month))
-    totals = _by_month_and_vehicle(rows, veh, "monthly_total").select(
-        "vehicle_no", dates.month_label("expense_month").alias("expense_month"), "monthly_total"
-    )
-    return newest_first(totals, "monthly_total", total=True)
+    label = dates.month_label(dates.day(month)).alias("expense_month")
+    return month_by_vehicle(sp, veh, month).select("vehicle_no", label, "monthly_total")
 
 
 def monthly_trend(sp: DataFrame, as_of: Month, months: int = 6) -> DataFrame:
@@ -262,7 +258,7 @@ def month_total(sp: DataFrame, month: Month) -> DataFrame:
 def monthly_expenses(sp: DataFrame, veh: DataFrame) -> DataFrame:
     """Paid amount per month and vehicle, newest month and largest amount first."""
     return (
-        _by_month_and_vehicle(sp.filter(is_paid()), veh, "total_expense")
+        _sum_by_vehicle(sp.filter(is_paid()), veh, "total_expense", "expense_month")
         .orderBy(
             F.col("expense_month").desc_nulls_first(),
             F.col("total_expense").desc_nulls_first(),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetbooks.functions.dates import DAY_LABEL
-from fleetbooks.sources.schemas import MONTH_COLUMN
+from fleetbooks.sources.schemas import LISTING_ORDER, MONTH_COLUMN
 
 _TIME_TEXT = "yyyy-MM-dd HH:mm:ss"
 
@@ -70,7 +70,8 @@ def write_table(df: DataFrame, path: str, table: str) -> None:
     Refuses an existing path, so a version that is being read is never
     overwritten. Large tables are laid out by month; the rebalance hint lets
     Spark split a month that holds far more rows than the others over several
-    tasks and merge small ones.
+    tasks and merge small ones. Rows lie by date within a file, so date ranges
+    skip row groups.
     """
     target = f"{path.rstrip('/')}/{table}"
     month = MONTH_COLUMN.get(table)
@@ -79,6 +80,7 @@ def write_table(df: DataFrame, path: str, table: str) -> None:
     else:
         (
             df.hint("rebalance", month)
+            .sortWithinPartitions(month, LISTING_ORDER[table][0])
             .write.mode("errorifexists")
             .partitionBy(month)
             .parquet(target)

@@ -42,6 +42,30 @@ def test_a_version_is_never_overwritten(spark, seed, tmp_path):
         sinks.write_table(seed.vehicles, root, "vehicles")
 
 
+def test_a_hot_month_is_written_by_several_tasks(spark, tmp_path):
+    """Nine rows of ten are of one month; its directory gets several files."""
+    conf = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+        "spark.sql.adaptive.rebalancePartitionsSmallPartitionFactor": "0.5",
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        sp = spark.range(0, 60000, 1, 8).selectExpr(
+            "id",
+            "IF(id % 10 = 0, DATE '2024-02-01', DATE '2024-01-01') AS expense_month",
+            "date_add(DATE '2024-01-01', CAST(id % 31 AS INT)) AS date",
+            "md5(string(id)) AS reason",
+        )
+        root = str(tmp_path / "v1")
+        sinks.write_table(sp, root, "spendings")
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert len(glob.glob(f"{root}/spendings/expense_month=2024-01-01/part-*")) > 2
+    assert tables.load(spark, root, "spendings").count() == 60000
+
+
 def test_listing_and_choices(seed):
     assert rows(tables.listing(seed.vehicles, "vehicles"), "vehicle_no") == [("202",), ("3393",), ("407",), ("505",)]
     dates = [d for (d,) in rows(tables.listing(seed.payments, "payments"), "date")]
