@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from fleetbooks.functions.predicates import any_cell_contains, contains_text
 
-# Rows of one key that one task may hold on either side of a fan-out join.
+# What one task should have of one key in a fan-out join: result rows, and rows
+# of either side. Keys above are split, the heaviest HOT_KEYS of them.
+PAIRS_PER_PIECE = 10_000_000
 ROWS_PER_PIECE = 1_000_000
+HOT_KEYS = 10_000
 
 # A Python list of ids becomes an IN predicate up to this length.
 SHORT_LIST = 1_000
@@ -115,54 +118,79 @@ def stacked(*frames: DataFrame) -> DataFrame:
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def _hot_keys(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], pairs: int, rows: int
+) -> DataFrame:
+    """Heavy keys with the pieces ``__a`` of their left and ``__b`` of their right rows.
+
+    With ``l`` and ``r`` rows a key has ``l * r`` pairs. Pieces of about
+    ``sqrt(pairs)`` rows on both sides repeat the fewest rows; where one side
+    is smaller than that, it stays whole and the other is cut.
+    """
+    l, r, weight = F.col("__l"), F.col("__r"), F.col("__weight")
+    side = pairs**0.5
+
+    def pieces(own: Column, other: Column) -> Column:
+        by_pairs = F.ceil(own * F.least(other, F.lit(side)) / pairs)
+        return F.greatest(by_pairs, F.ceil(own / rows), F.lit(1)).cast("int")
+
+    counts = (
+        stacked(
+            left.select(*keys, F.lit(1).alias("__l"), F.lit(0).alias("__r")),
+            right.select(*keys, F.lit(0).alias("__l"), F.lit(1).alias("__r")),
+        )
+        .groupBy(*keys)
+        .agg(F.sum("__l").alias("__l"), F.sum("__r").alias("__r"))
+    )
+    heavy = counts.withColumn("__weight", l.cast("double") * r + l + r).filter(
+        (l.cast("double") * r > pairs) | (l > rows) | (r > rows)
+    )
+    return (
+        heavy.orderBy(weight.desc(), *keys)
+        .limit(HOT_KEYS)
+        .select(*keys, pieces(l, r).alias("__a"), pieces(r, l).alias("__b"))
+    )
+
+
 def fan_out_left_join(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
+    pairs_per_piece: int = PAIRS_PER_PIECE,
     rows_per_piece: int = ROWS_PER_PIECE,
 ) -> DataFrame:
     """``left`` LEFT JOIN ``right`` on ``keys``, many to many, hot keys split.
 
     Every pair of a key belongs to the result, so a key with a large share of
     both tables would otherwise be matched by one task. Keys are counted first
-    (map-side combined). A key above ``rows_per_piece`` rows has its left rows
-    dealt by hash into ``a`` pieces and its right rows into ``b``; each left
-    piece is repeated for the ``b`` right pieces and the reverse, so each pair
-    meets exactly once, in one of ``a * b`` groups. Other keys keep one piece.
+    (map-side combined). The left rows of a heavy key are dealt by hash into
+    ``a`` pieces and its right rows into ``b``; each left piece is repeated for
+    the ``b`` right pieces and the reverse, so each pair meets exactly once, in
+    one of ``a * b`` groups. Other keys keep one piece and join as usual.
 
-    The list of hot keys is sent to every task, so neither side is moved before
-    the join itself. Its size is bounded: each hot key stands for more than
-    ``rows_per_piece`` input rows, so 10^12 rows give at most 10^6 of them.
+    The list of split keys is sent to every task, so neither side is moved
+    before the join itself. It has at most ``HOT_KEYS`` rows, the heaviest; a
+    key that is not among them has less than one part in ``HOT_KEYS`` of the
+    result and needs no split. Which keys are split never changes the result.
 
     A repeated left row may find one of the right pieces empty. That copy is
     dropped: ``b > 1`` says the right side has the key, so the row has its
     matches in another piece. With ``b = 1`` an unmatched row is kept.
     """
     keys = list(keys)
-    l, r, a, b = F.col("__l"), F.col("__r"), F.col("__a"), F.col("__b")
-    pieces = lambda rows: F.greatest(F.ceil(rows / rows_per_piece), F.lit(1)).cast("int")
-    hot = (
-        stacked(
-            left.select(*keys, F.lit(1).alias("__l"), F.lit(0).alias("__r")),
-            right.select(*keys, F.lit(0).alias("__l"), F.lit(1).alias("__r")),
-        )
-        .groupBy(*keys)
-        .agg(F.sum("__l").alias("__l"), F.sum("__r").alias("__r"))
-        .filter((l > rows_per_piece) | (r > rows_per_piece))
-        .select(*keys, pieces(l).alias("__a"), pieces(r).alias("__b"))
-    )
+    hot = F.broadcast(_hot_keys(left, right, keys, pairs_per_piece, rows_per_piece))
+    a, b, one = F.col("__a"), F.col("__b"), F.lit(1)
 
     def dealt(df: DataFrame, own: Column, other: Column, i: str, j: str) -> DataFrame:
         """Own piece by hash of the row; one copy for each piece opposite."""
         dealing = F.xxhash64(*[F.col(c) for c in df.columns if c not in keys])
-        one = F.lit(1)
         return (
-            df.join(F.broadcast(hot), keys, "left")
+            df.join(hot, keys, "left")
             .withColumn(i, F.pmod(dealing, F.coalesce(own, one)).cast("int"))
             .withColumn(j, F.explode(F.sequence(F.lit(0), F.coalesce(other, one) - 1)))
         )
 
-    lefts = dealt(left, a, b, "__i", "__j").withColumn("__split", F.coalesce(b, F.lit(1)) > 1)
+    lefts = dealt(left, a, b, "__i", "__j").withColumn("__split", F.coalesce(b, one) > 1)
     rights = dealt(right, b, a, "__j", "__i").withColumn("__hit", F.lit(True))
     return (
         lefts.drop("__a", "__b")

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from fleetbooks.functions import dates, money
 from fleetbooks.operators.common import (
-    ROWS_PER_PIECE,
     by_ids,
     by_name,
     fan_out_left_join,
@@ -130,7 +129,6 @@ def sales_with_payments(
     pays: DataFrame,
     month: Month,
     ordered: bool = True,
-    rows_per_piece: int = ROWS_PER_PIECE,
 ) -> DataFrame:
     """Each sale of the month next to each payment of its company and month.
 
@@ -156,7 +154,7 @@ def sales_with_payments(
         "payment_mode",
         "reference_number",
     )
-    rows = fan_out_left_join(left, right, ["company_name", "month_year"], rows_per_piece)
+    rows = fan_out_left_join(left, right, ["company_name", "month_year"])
     if ordered:
         rows = by_name(rows, "company_name", "sale_date")
     return rows.select(

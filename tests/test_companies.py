@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 
 from fleetbooks.operators import companies
-from fleetbooks.operators.common import fan_out_left_join, search_col
+from fleetbooks.operators.common import _hot_keys, fan_out_left_join, search_col
 from fleetbooks.plans import exports, labelled
 from tests.seed import rows, table
 
@@ -107,8 +107,11 @@ def test_export_multiplies_rows_and_drops_payments_without_sales(books):
     assert rows(exports.export_companies(*books, JAN)) == got
 
 
-@pytest.mark.parametrize("piece", [1, 2, 3, 1000])
-def test_hot_keys_give_the_plain_join(spark, piece):
+@pytest.mark.parametrize(
+    "pairs, rows_each, hot_keys",
+    [(1, 1000, 100), (1000, 1, 100), (4, 2, 100), (9, 1000, 100), (9, 3, 1), (10**7, 10**6, 100)],
+)
+def test_hot_keys_give_the_plain_join(spark, monkeypatch, pairs, rows_each, hot_keys):
     """Split keys, repeated copies, keys on one side only and NULL keys."""
     left = [("hot", i) for i in range(11)] + [("copies", 1)] * 7 + [("alone", i) for i in range(5)]
     left += [(None, 1), (None, 2), ("cold", 1)]
@@ -116,18 +119,35 @@ def test_hot_keys_give_the_plain_join(spark, piece):
     right += [(None, 1), ("cold", 5)]
     a = spark.createDataFrame(left, "k string, x int")
     b = spark.createDataFrame(right, "k string, y int")
-    got = Counter(tuple(r) for r in fan_out_left_join(a, b, ["k"], piece).collect())
+    monkeypatch.setattr("fleetbooks.operators.common.HOT_KEYS", hot_keys)
+    got = Counter(tuple(r) for r in fan_out_left_join(a, b, ["k"], pairs, rows_each).collect())
     want = Counter(tuple(r) for r in a.join(b, "k", "left").collect())
     assert got == want
 
 
+def test_pieces_follow_the_pairs(spark):
+    def pieces(l, r, pairs=100, rows_each=1000):
+        a = spark.range(l).selectExpr("'k' AS k", "id AS x")
+        b = spark.range(r).selectExpr("'k' AS k", "id AS y")
+        return [tuple(x)[1:] for x in _hot_keys(a, b, ["k"], pairs, rows_each).collect()]
+
+    assert pieces(10, 10) == []
+    assert pieces(50, 30) == [(5, 3)]
+    # the small side stays whole
+    assert pieces(500, 2) == [(10, 1)]
+    assert pieces(2, 500) == [(1, 10)]
+    # many rows without a partner are cut by number alone
+    assert pieces(5000, 0) == [(5, 1)]
+    assert pieces(0, 5000) == [(1, 5)]
+
+
 def test_hot_key_is_spread_over_tasks(spark):
     a = spark.range(400).selectExpr("'hot' AS k", "id AS x")
     b = spark.range(300).selectExpr("'hot' AS k", "id AS y")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = fan_out_left_join(a, b, ["k"], 50)
+        joined = fan_out_left_join(a, b, ["k"], pairs_per_piece=2500)
         sizes = [n for n in joined.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect() if n]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
