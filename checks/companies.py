@@ -195,7 +195,7 @@ PAIRS = [
     ),
     Pair(
         "lookup_sales",
-        lambda b: companies.lookup_sales(b.company_sales(), b.keys(b.company_sales())),
+        lambda b: companies.lookup_sales(b.company_sales(), b.keys("company_sales")),
         """SELECT id, strftime(sale_date, '%Y-%m-%d') AS sale_date, company_name,
                   COALESCE(invoice_number, '') AS invoice_number, CAST(sale_amount AS DOUBLE) AS sale_amount,
                   strftime(month_year, '%Y-%m') AS month_year, COALESCE(description, '') AS description
@@ -203,7 +203,7 @@ PAIRS = [
     ),
     Pair(
         "lookup_company_payments",
-        lambda b: companies.lookup_company_payments(b.company_payments(), b.keys(b.company_payments())),
+        lambda b: companies.lookup_company_payments(b.company_payments(), b.keys("company_payments")),
         """SELECT id, strftime(payment_date, '%Y-%m-%d') AS payment_date, company_name,
                   CAST(received_amount AS DOUBLE) AS received_amount, payment_mode,
                   COALESCE(reference_number, '') AS reference_number,

@@ -228,7 +228,7 @@ PAIRS += [
 def _settle(key: str, label: str) -> Pair:
     return Pair(
         key,
-        lambda b: changes.settle(b.spendings(), b.keys(b.spendings()), "E42", "UPI", AS_OF, label),
+        lambda b: changes.settle(b.spendings(), b.keys("spendings"), "E42", "UPI", AS_OF, label),
         f"""
         SELECT id, vehicle_id, date, expense_month, category,
                CASE WHEN hit THEN COALESCE(reason, '') || ' - {label} on {AS_OF}' ELSE reason END AS reason,
@@ -244,7 +244,7 @@ def _edits(keys: str, fields: str) -> str:
     SELECT * FROM (
       SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY seq DESC) AS rank FROM (
         SELECT id, seq, {fields}
-        FROM (SELECT id, 1 AS seq FROM {keys} UNION ALL SELECT id, 2 FROM {keys} WHERE id % 3 = 0)
+        FROM (SELECT id, unnest([1, 2]) AS seq FROM {keys})
       ) WHERE amount IS NOT NULL
     ) WHERE rank = 1"""
 
@@ -271,7 +271,7 @@ def _spending_edits(b: Books):
         "spended_by": F.when(F.col("id") % 2 == 0, "").otherwise("E9"),
         "mode": F.lit("UPI"),
     }
-    return ingest.spending_edits(b.edits(b.spendings(), fields)).accepted
+    return ingest.spending_edits(b.edits("spendings", fields)).accepted
 
 
 def _edit(key: str, base, edit, table: str, keys: str, amount: str, fields: str, values: dict[str, str]) -> Pair:
@@ -287,7 +287,7 @@ def _edit(key: str, base, edit, table: str, keys: str, amount: str, fields: str,
 
 
 def _text_edit(table: str, parse, fields):
-    return lambda b: parse(b.edits(getattr(b, table)(), fields())).accepted
+    return lambda b: parse(b.edits(table, fields())).accepted
 
 
 PAIRS += [
@@ -424,19 +424,19 @@ PAIRS += [
     ),
     Pair(
         "toggle_marks",
-        lambda b: changes.toggle_marks(b.spendings(), b.keys(b.spendings())),
+        lambda b: changes.toggle_marks(b.spendings(), b.keys("spendings")),
         """SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount,
                   CASE WHEN id IN (SELECT id FROM spending_keys) THEN NOT COALESCE(marked, FALSE) ELSE marked END AS marked)
            FROM spendings""",
     ),
     Pair(
         "existing_ids",
-        lambda b: changes.require_existing(b.keys(b.spendings()), b.spendings()),
+        lambda b: changes.require_existing(b.keys("spendings"), b.spendings()),
         "SELECT id FROM spending_keys WHERE id IN (SELECT id FROM spendings)",
     ),
     Pair(
         "unknown_ids",
-        lambda b: changes.unknown_keys(b.keys(b.spendings()), b.spendings()),
+        lambda b: changes.unknown_keys(b.keys("spendings"), b.spendings()),
         "SELECT id FROM spending_keys WHERE id NOT IN (SELECT id FROM spendings)",
     ),
 ]
@@ -445,7 +445,7 @@ PAIRS += [
 def _delete(key: str, table: str, keys: str, amount: str) -> Pair:
     def build(b: Books):
         base = getattr(b, table)()
-        return changes.delete_rows(base, b.keys(base))
+        return changes.delete_rows(base, b.keys(table))
 
     return Pair(
         key,
@@ -464,13 +464,13 @@ PAIRS += [
     _delete("delete_company_payments", "company_payments", "company_payment_keys", "received_amount"),
     Pair(
         "delete_cascade",
-        lambda b: changes.delete_rows(b.spendings(), b.keys(b.vehicles()), key="vehicle_id"),
+        lambda b: changes.delete_rows(b.spendings(), b.keys("vehicles"), key="vehicle_id"),
         """SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount) FROM spendings
            WHERE vehicle_id NOT IN (SELECT id FROM vehicle_keys)""",
     ),
     Pair(
         "delete_set_null",
-        lambda b: changes.detach_rows(b.payments(), b.keys(b.vehicles()), key="vehicle_id"),
+        lambda b: changes.detach_rows(b.payments(), b.keys("vehicles"), key="vehicle_id"),
         """SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount,
                   CASE WHEN vehicle_id NOT IN (SELECT id FROM vehicle_keys) THEN vehicle_id END AS vehicle_id)
            FROM payments""",
@@ -521,7 +521,7 @@ PAIRS += [
     Pair(
         "orphan_report",
         lambda b: quality.orphans(
-            b.spendings(), changes.delete_rows(b.vehicles(), b.keys(b.vehicles())), "vehicle_id"
+            b.spendings(), changes.delete_rows(b.vehicles(), b.keys("vehicles")), "vehicle_id"
         ),
         """SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount) FROM spendings
            WHERE vehicle_id IS NOT NULL AND vehicle_id NOT IN
@@ -530,9 +530,10 @@ PAIRS += [
     Pair(
         "safe_vehicle_delete",
         lambda b: quality.safe_delete(
-            b.hired_vehicles(), b.hired_vehicle_transactions(), b.keys(b.hired_vehicles()), "hired_vehicle_id"
+            b.hired_vehicles(), b.hired_vehicle_transactions(), b.keys("hired_vehicles"), "hired_vehicle_id"
         ),
         """SELECT * FROM hired_vehicles
-           WHERE id % 7 <> 0 OR id IN (SELECT hired_vehicle_id FROM hired_vehicle_transactions)""",
+           WHERE id NOT IN (SELECT id FROM hired_vehicle_keys)
+              OR id IN (SELECT hired_vehicle_id FROM hired_vehicle_transactions)""",
     ),
 ]

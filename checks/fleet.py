@@ -126,12 +126,12 @@ PAIRS = [
     ),
     Pair(
         "spendings_by_ids",
-        lambda b: by_ids(b.spendings(), b.keys(b.spendings())),
+        lambda b: by_ids(b.spendings(), b.keys("spendings")),
         f"SELECT {ROW} FROM spendings s WHERE s.id IN (SELECT id FROM spending_keys)",
     ),
     Pair(
         "lookup_spendings",
-        lambda b: fleet.lookup_spendings(b.spendings(), b.keys(b.spendings())),
+        lambda b: fleet.lookup_spendings(b.spendings(), b.keys("spendings")),
         """
         SELECT id, strftime(date, '%Y-%m-%d') AS date,
                COALESCE(strftime(expense_month, '%Y-%m'), '') AS expense_month, vehicle_id, category,
@@ -333,7 +333,7 @@ PAIRS += [
     ),
     Pair(
         "settlement_preview",
-        lambda b: fleet.settlement_preview(b.spendings(), b.keys(b.spendings())),
+        lambda b: fleet.settlement_preview(b.spendings(), b.keys("spendings")),
         f"""SELECT COUNT(*) AS selected, {SUM} AS total FROM spendings s
             WHERE s.id IN (SELECT id FROM spending_keys)""",
     ),

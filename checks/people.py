@@ -114,7 +114,7 @@ PAIRS = [
     ),
     Pair(
         "lookup_advances",
-        lambda b: employees.lookup_advances(b.employee_advances(), b.keys(b.employee_advances())),
+        lambda b: employees.lookup_advances(b.employee_advances(), b.keys("employee_advances")),
         """SELECT id, employee_name, strftime(date, '%Y-%m-%d') AS date, CAST(amount AS DOUBLE) AS amount,
                   COALESCE(purpose, '') AS purpose
            FROM employee_advances WHERE id IN (SELECT id FROM advance_keys)""",
@@ -186,7 +186,7 @@ PAIRS = [
     Pair(
         "lookup_hired_txn",
         lambda b: hired.lookup_hired_txn(
-            b.hired_vehicle_transactions(), b.keys(b.hired_vehicle_transactions())
+            b.hired_vehicle_transactions(), b.keys("hired_vehicle_transactions")
         ),
         """SELECT id, transaction_type, strftime(transaction_date, '%Y-%m-%d') AS transaction_date,
                   strftime(month_year, '%Y-%m') AS month_year, CAST(amount AS DOUBLE) AS amount,

@@ -28,6 +28,19 @@ def _month_of(ts: str) -> Column:
     return F.trunc(F.col(ts).cast("date"), "MM")
 
 
+# Which rows of a table the registered changes and lookups by id are about.
+SELECTED: dict[str, str] = {
+    "spendings": f"(spended_by IS NULL OR mode IS NULL) AND expense_month = DATE '{M}'",
+    "payments": "vehicle_id IS NULL",
+    "employee_advances": "amount >= 25",
+    "hired_vehicle_transactions": "transaction_type NOT IN ('sale', 'payment')",
+    "company_sales": "description = '5-LOW'",
+    "company_payments": "payment_mode = 'cash'",
+    "vehicles": "vehicle_no LIKE '%3%'",
+    "hired_vehicles": "owner_name = 'BUILDING'",
+}
+
+
 class Books:
     """The domain tables over one directory of given tables.
 
@@ -169,11 +182,13 @@ class Books:
 
     # --- inputs of the change operators, made from the books ----------------
 
-    @staticmethod
-    def keys(df: DataFrame) -> DataFrame:
-        """A key list: every seventh id, and one that does not exist."""
-        some = df.select("id").filter(F.col("id") % 7 == 0).distinct()
-        return some.union(df.sparkSession.range(1).select(-1 - F.col("id")))
+    def keys(self, table: str) -> DataFrame:
+        """The ids a change is about (see ``SELECTED``), and one that does not exist."""
+        rows = getattr(self, table)()
+        if table == "spendings":
+            rows = self.spendings(month=M)
+        picked = rows.filter(F.expr(SELECTED[table])).select("id").distinct()
+        return picked.union(self.spark.range(1).select(-1 - F.col("id")))
 
     @staticmethod
     def _raw(df: DataFrame, date: str, amount: str, month: str | None, payer: str | None, blank: str) -> DataFrame:
@@ -246,13 +261,10 @@ class Books:
             .union(cust.select(F.col("c_custkey") + 2000000000000, again))
         )
 
-    def edits(self, df: DataFrame, fields: dict[str, Column]) -> DataFrame:
-        """One edit per listed id, a second one for every third, some unusable."""
-        keys = self.keys(df)
-        seqs = keys.select("id", F.lit(1).cast("long").alias("seq")).union(
-            keys.filter(F.col("id") % 3 == 0).select("id", F.lit(2).cast("long"))
-        )
-        return seqs.select("id", "seq", *[c.alias(n) for n, c in fields.items()])
+    def edits(self, table: str, fields: dict[str, Column]) -> DataFrame:
+        """Two edits per listed id, one after the other, some of them unusable."""
+        seqs = self.keys(table).select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"))
+        return seqs.select("id", F.col("seq").cast("long"), *[c.alias(n) for n, c in fields.items()])
 
 
 # The same tables for the SQL check.
@@ -308,13 +320,19 @@ SELECT l_orderkey AS id, CAST(l_shipdate AS DATE) AS payment_date, c_name AS com
        concat('PAY', CAST(l_orderkey AS STRING)) AS reference_number,
        l_linestatus AS description, CAST(date_trunc('month', l_shipdate) AS DATE) AS month_year
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""",
-    "spending_keys": "SELECT DISTINCT id FROM spendings WHERE id % 7 = 0 UNION ALL SELECT -1",
-    "payment_keys": "SELECT DISTINCT id FROM payments WHERE id % 7 = 0 UNION ALL SELECT -1",
-    "advance_keys": "SELECT DISTINCT id FROM employee_advances WHERE id % 7 = 0 UNION ALL SELECT -1",
-    "hired_txn_keys": "SELECT DISTINCT id FROM hired_vehicle_transactions WHERE id % 7 = 0 UNION ALL SELECT -1",
-    "sale_keys": "SELECT DISTINCT id FROM company_sales WHERE id % 7 = 0 UNION ALL SELECT -1",
-    "company_payment_keys": "SELECT DISTINCT id FROM company_payments WHERE id % 7 = 0 UNION ALL SELECT -1",
-    "vehicle_keys": "SELECT DISTINCT id FROM vehicles WHERE id % 7 = 0 UNION ALL SELECT -1",
+    **{
+        name: f"SELECT DISTINCT id FROM {table} WHERE {SELECTED[table]} UNION ALL SELECT -1"
+        for name, table in {
+            "spending_keys": "spendings",
+            "payment_keys": "payments",
+            "advance_keys": "employee_advances",
+            "hired_txn_keys": "hired_vehicle_transactions",
+            "sale_keys": "company_sales",
+            "company_payment_keys": "company_payments",
+            "vehicle_keys": "vehicles",
+            "hired_vehicle_keys": "hired_vehicles",
+        }.items()
+    },
     "raw_spendings": """
 SELECT CAST(id AS STRING) AS id, CAST(vehicle_id AS STRING) AS vehicle_id,
        CASE WHEN id % 17 = 0 THEN '' ELSE CAST(date AS STRING) END AS date,
