@@ -304,6 +304,13 @@ PAIRS += [
     ),
     _summary("top_overall_monthly_totals", fleet.BY_MONTH, _BY_MONTH + " LIMIT 12", 12),
     # --- payers and settlement ----------------------------------------------
+    Pair(
+        "incoming_totals",
+        lambda b: fleet.incoming_totals(b.payments(), b.spendings()),
+        f"""SELECT CAST(c AS DOUBLE) AS credited, CAST(d AS DOUBLE) AS debited, CAST(c - d AS DOUBLE) AS balance
+            FROM (SELECT (SELECT COALESCE(SUM(amount), 0) FROM payments) AS c,
+                         (SELECT COALESCE(SUM(s.amount), 0) FROM spendings s WHERE {PAID}) AS d)""",
+    ),
     Pair(
         "payer_balance",
         lambda b: fleet.payer_balance(b.payments(), b.spendings()),

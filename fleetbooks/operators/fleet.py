@@ -313,6 +313,21 @@ def expense_summary(
 # --- payers and settlement --------------------------------------------------
 
 
+def incoming_totals(pay: DataFrame, sp: DataFrame) -> DataFrame:
+    """Credit, paid debit and balance as the incoming page has them.
+
+    Debit here is what is paid; the dashboard's also counts half-filled rows.
+    """
+    rows = stacked(
+        pay.select(F.col("amount").alias("credit")),
+        sp.filter(is_paid()).select(F.col("amount").alias("debit")),
+    )
+    credit, debit = money.total("credit"), money.total("debit")
+    return rows.agg(
+        credit.alias("credited"), debit.alias("debited"), (credit - debit).alias("balance")
+    )
+
+
 def payer_balance(pay: DataFrame, sp: DataFrame, payers: Sequence[str] | None = None) -> DataFrame:
     """Credit, paid debit and balance, and for each payer what is left of the
     whole credit after what that payer spent (the mode is not looked at).

@@ -64,6 +64,7 @@ def test_half_filled_row_is_unpaid_and_debited(spark, seed):
     assert fleet.touched_spendings(sp).count() == 2
     debited = fleet.dashboard_totals(seed.vehicles, seed.payments, sp, JAN)
     assert rows(debited, "debited") == [(20.0,)]
+    assert rows(fleet.incoming_totals(seed.payments, sp)) == [(66000.0, 0.0, 66000.0)]
 
 
 def test_empty_payer_is_paid_in_totals_but_not_on_the_page(spark, seed):
