@@ -6,9 +6,10 @@ import pytest
 
 from checks.registry import PAIRS
 from checks.views import M, Books
-from fleetbooks.operators import companies, fleet, hired
+from fleetbooks.operators import changes, fleet
+from fleetbooks.operators.common import by_ids
 from fleetbooks.sources import sinks, tables
-from tests.seed import Seed, rows
+from tests.seed import rows
 
 SF = "/root/testdata/sf0.001"
 
@@ -120,8 +121,9 @@ def test_results_do_not_depend_on_broadcasts(spark, key):
     assert got == want
 
 
-def test_a_hot_vehicle_is_split_by_the_skew_join(spark):
-    """A third of the rows on one vehicle, both sides too large to broadcast."""
+@pytest.mark.parametrize("join", ["inner", "left", "left_semi", "left_anti"])
+def test_a_hot_key_is_split_by_the_skew_join(spark, join):
+    """A third of the rows on one key, both sides too large to broadcast."""
     conf = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -135,12 +137,24 @@ def test_a_hot_vehicle_is_split_by_the_skew_join(spark):
         spark.conf.set(k, v)
     try:
         sp = spark.range(0, 60000, 1, 8).selectExpr(
-            "id", "IF(id % 3 = 0, 7L, id % 1000) AS vehicle_id", "repeat(md5(string(id)), 2) AS reason"
+            "IF(id % 3 = 0, 7L, id % 1000) AS id",
+            "IF(id % 3 = 0, 7L, id % 1000) AS vehicle_id",
+            "repeat(md5(string(id)), 2) AS reason",
+            "'P' AS spended_by",
+            "'UPI' AS mode",
         )
-        veh = spark.range(1000).selectExpr("id", "concat('V', id) AS vehicle_no")
-        joined = fleet.with_vehicle(sp, veh)
-        assert len(joined.collect()) == 60000
-        assert "SortMergeJoin(skew=true)" in plan(joined)
+        dim = spark.range(1000).selectExpr("id", "concat('V', id) AS vehicle_no")
+        hot = sp.filter("id = 7").count()
+        build, expected = {
+            "inner": (lambda: fleet.with_vehicle(sp, dim), 60000),
+            "left": (lambda: changes.settle(sp, dim.select("id"), "Q", "Cash", M), 60000),
+            "left_semi": (lambda: by_ids(sp, dim.filter("id < 8").select("id")), None),
+            "left_anti": (lambda: changes.delete_rows(sp, dim.filter("id > 7").select("id")), None),
+        }[join]
+        df = build()
+        n = len(df.collect())
+        assert n == (sp.filter("id < 8").count() if expected is None else expected) and n >= hot
+        assert "SortMergeJoin(skew=true)" in plan(df)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
