@@ -16,8 +16,10 @@ CLUSTER_CONF: dict[str, str] = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Key lists and vehicle lists of up to about a million rows.
+    # Key lists and vehicle lists of up to about a million rows; files are taken
+    # to be three times as large in memory when their size is estimated.
     "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.sources.fileCompressionFactor": "3.0",
     # Many initial partitions; the ones that turn out small are merged.
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",

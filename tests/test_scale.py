@@ -6,7 +6,7 @@ import pytest
 
 from checks.registry import PAIRS
 from checks.views import M, Books
-from fleetbooks.operators import changes, fleet
+from fleetbooks.operators import changes, companies, fleet
 from fleetbooks.operators.common import by_ids
 from fleetbooks.sources import sinks, tables
 from tests.seed import rows
@@ -59,6 +59,13 @@ def test_only_the_newest_month_is_read_in_full(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*expense_month[^\]]*>= Subquery", final)
 
 
+def test_the_nth_newest_date_reaches_the_scan(spark, tmp_path):
+    root = str(tmp_path / "books")
+    sinks.write_table(Books(spark, SF).company_payments(), root, "company_payments")
+    text = plan(companies.recent_company_payments(tables.load(spark, root, "company_payments")))
+    assert "GreaterThanOrEqual(payment_date,ScalarSubquery" in text
+
+
 def test_sorted_lists_cost_nothing_under_an_aggregate(spark):
     b = Books(spark, SF)
     text = plan(fleet.paid_spendings(b.spendings(), b.vehicles()).groupBy("category").count())
