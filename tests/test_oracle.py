@@ -20,6 +20,6 @@ def test_same_rows(spark, con, key):
 
 
 def test_contract(spark):
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(PAIRS) <= set(contract.oracle_sql()) <= set(contract.queries())
     df = contract.entry(spark)
     assert df.columns == ["vehicle_no", "monthly_total"] and df.count() > 0
