@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -185,11 +185,11 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     and repeated keys as well; an empty table stays empty. No special tokens are
     added; their strings in a text are those tokens, as the library has it.
     """
-    v = df.sparkSession.sparkContext.broadcast(load(path))
+    shared = df.sparkSession.sparkContext.broadcast(astuple(load(path)))
     df = df.drop(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(v.value)
+        encoder = Encoder(Vocabulary(*shared.value))
         for batch in batches:
             column = batch.column(text)
             parts = []
@@ -207,11 +207,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     Null gives an empty text, bytes that are no UTF-8 give U+FFFD. An id outside
     the vocabulary stands for nothing, as in the library.
     """
-    v = df.sparkSession.sparkContext.broadcast(load(path))
+    shared = df.sparkSession.sparkContext.broadcast(astuple(load(path)))
     df = df.drop(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = v.value
+        voc = Vocabulary(*shared.value)
         for batch in batches:
             column = batch.column(ids)
             counts = np.diff(column.offsets.to_numpy()) * np.asarray(column.is_valid())
