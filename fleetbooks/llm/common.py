@@ -81,9 +81,10 @@ def strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
         return pa.array([x.as_py().decode("utf-8", "replace") for x in made], pa.string())
 
 
-def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
+def lists(values: np.ndarray | pa.Array, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
     starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, kind))
+    values = values if isinstance(values, pa.Array) else pa.array(values, kind)
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), values)
 
 
 def lowered(data: np.ndarray) -> np.ndarray:

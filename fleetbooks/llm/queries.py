@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetbooks.llm import bpe
+from fleetbooks.llm import bpe, decontaminate
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,8 +30,21 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, tests = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
+    return decontaminate.contamination(docs, tests).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
+    "op8_decontamination": op8_decontamination,
 }
 
 # Where SQL can express an operator; the others meet a brute-force version in tests/llm.
