@@ -8,13 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetbooks.llm import bpe, decontaminate
+from fleetbooks.llm import bpe, decontaminate, langid
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held = langid.held_out("doc_id")
+    model = langid.fit(docs.filter(~held))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def token_digest(docs: DataFrame, path: str) -> DataFrame:
     """Documents as token ids and back: count and hashes."""
     rows = bpe.encode(docs.select("doc_id", "text"), path).drop("text")
@@ -43,6 +51,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language": op2_language,
     "op6_bpe": op6_bpe,
     "op8_decontamination": op8_decontamination,
 }
