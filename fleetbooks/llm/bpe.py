@@ -28,7 +28,10 @@ from fleetbooks.llm.common import buffers, chunks, lists, ragged, strings
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 # Words remembered by a task; when there are more it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
+
+# Bytes of text that are encoded at once.
+STEP = 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -173,13 +176,14 @@ class Encoder:
         return ids, np.diff(total[ends])
 
 
-def _with_column(batch: pa.RecordBatch, name: str, parts: list[pa.Array], kind: pa.DataType) -> pa.RecordBatch:
-    made = pa.concat_arrays(parts) if parts else pa.array([], kind)
-    return pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
+def _replaced(batch: pa.RecordBatch, drop: str, name: str, made: pa.Array) -> pa.RecordBatch:
+    names = [c for c in batch.schema.names if c != drop]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), made], [*names, name])
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` with an array column of token ids in place of any column of that name.
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: bool = True) -> DataFrame:
+    """``df`` with an array column of token ids in place of any column of that name;
+    without the text if ``keep`` is false.
 
     A null text is an empty one and has no ids. Every row gives one row, copies
     and repeated keys as well; an empty table stays empty. No special tokens are
@@ -192,17 +196,17 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
         encoder = Encoder(Vocabulary(*shared.value))
         for batch in batches:
             column = batch.column(text)
-            parts = []
-            for low, high in chunks(buffers(column)[1]):
+            for low, high in chunks(buffers(column)[1], STEP):
                 values, counts = encoder.encode([t or "" for t in column[low:high].to_pylist()])
-                parts.append(lists(values, counts, pa.int32()))
-            yield _with_column(batch, ids, parts, pa.list_(pa.int32()))
+                made = lists(values, counts, pa.int32())
+                yield _replaced(batch.slice(low, high - low), "" if keep else text, ids, made)
 
-    return df.mapInArrow(run, _schema(df, f"`{ids}` array<int>"))
+    return df.mapInArrow(run, _schema(df if keep else df.drop(text), f"`{ids}` array<int>"))
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``df`` with the text of an array of token ids, special tokens included.
+def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", keep: bool = True) -> DataFrame:
+    """``df`` with the text of an array of token ids, special tokens included;
+    without the ids if ``keep`` is false.
 
     Null gives an empty text, bytes that are no UTF-8 give U+FFFD. An id outside
     the vocabulary stands for nothing, as in the library.
@@ -211,27 +215,24 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     df = df.drop(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = Vocabulary(*shared.value)
+        v = Vocabulary(*shared.value)
         for batch in batches:
             column = batch.column(ids)
-            counts = np.diff(column.offsets.to_numpy()) * np.asarray(column.is_valid())
-            row = np.repeat(np.arange(len(column)), counts)
-            flat = column.flatten()
-            known = np.asarray(flat.is_valid())
-            tokens = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            known = known & (tokens >= 0) & (tokens < voc.size)
-            tokens, row = tokens[known], row[known]
-            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(column)))])
-            parts = []
-            for low, high in chunks(ends, 500_000):
-                own = tokens[ends[low] : ends[high]]
-                lengths = voc.starts[own + 1] - voc.starts[own]
-                data = voc.letters[ragged(voc.starts[own], lengths)]
-                total = np.concatenate([[0], np.cumsum(lengths)])
-                parts.append(strings(data, np.diff(total[ends[low : high + 1] - ends[low]])))
-            yield _with_column(batch, text, parts, pa.string())
-
-    return df.mapInArrow(run, _schema(df, f"`{text}` string"))
+            counts = np.where(column.is_valid(), np.diff(column.offsets.to_numpy()), 0)
+            flat, ends = column.flatten(), np.concatenate([[0], np.cumsum(counts)])
+            for low, high in chunks(ends, STEP // 2):
+                own = flat[ends[low] : ends[high]]
+                tokens = own.fill_null(-1).to_numpy().astype(np.int64)
+                known = (tokens >= 0) & (tokens < v.size)
+                row = np.repeat(np.arange(high - low), counts[low:high])[known]
+                tokens = tokens[known]
+                lengths = v.starts[tokens + 1] - v.starts[tokens]
+                letters = v.letters[ragged(v.starts[tokens], lengths)]
+                sizes = np.bincount(row, weights=lengths, minlength=high - low).astype(np.int64)
+                made = strings(letters, sizes)
+                yield _replaced(batch.slice(low, high - low), "" if keep else ids, text, made)
+
+    return df.mapInArrow(run, _schema(df if keep else df.drop(ids), f"`{text}` string"))
 
 
 def _schema(df: DataFrame, more: str) -> str:

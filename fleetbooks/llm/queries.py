@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetbooks.llm import bpe, decontaminate, langid
+from fleetbooks.llm import bpe, decontaminate, langid, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,19 +25,24 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_digest(docs: DataFrame, path: str) -> DataFrame:
     """Documents as token ids and back: count and hashes."""
-    rows = bpe.encode(docs.select("doc_id", "text"), path).drop("text")
-    return bpe.decode(rows, path).select(
+    rows = bpe.encode(docs.select("doc_id", "text"), path, keep=False).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        "ids",
     )
+    rows = bpe.decode(rows, path, keep=False)
+    return rows.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(_read(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, tests = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
     return decontaminate.contamination(docs, tests).select(
@@ -53,6 +58,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op6_bpe": op6_bpe,
+    "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
 }
 
