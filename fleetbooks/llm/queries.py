@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetbooks.llm import bpe, decontaminate, langid, simhash
+from fleetbooks.llm import ann, bpe, decontaminate, langid, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,11 +55,17 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
+    "op10_neighbours": op10_neighbours,
 }
 
 # Where SQL can express an operator; the others meet a brute-force version in tests/llm.
