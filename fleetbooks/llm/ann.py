@@ -71,7 +71,7 @@ def fit(rows: DataFrame, k: int, sample: int = SAMPLE, recall: float = RECALL) -
     sizes = {r["d"]: r["n"] for r in rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
     for d, n in sorted(sizes.items()):
         drawn = rows.filter(F.size("v") == d).orderBy(F.xxhash64("id", "v"), "id").limit(sample)
-        x = np.array([r["v"] for r in drawn.select("v").collect()], np.float64)
+        x = _matrix(drawn.select("v").toArrow().column("v"), d).copy()
         centres = _centres(x, max(1, min(LISTS, int(n**0.5), len(x) // 20)))
         turn = np.linalg.qr(np.random.default_rng(d).normal(size=(d, d)))[0]
         models[d] = {"centres": centres, "probes": _probes(x, centres, k, recall), "turn": turn}

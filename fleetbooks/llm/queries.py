@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetbooks.llm import ann, bpe, decontaminate, langid, simhash
+from fleetbooks.llm import ann, bpe, decontaminate, langid, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    found = toxicity.score(docs, toxicity.fit(docs, labels))
+    return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def token_digest(docs: DataFrame, path: str) -> DataFrame:
     """Documents as token ids and back: count and hashes."""
     rows = bpe.encode(docs.select("doc_id", "text"), path, keep=False).select(
@@ -62,6 +68,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
+    "op4_toxicity": op4_toxicity,
     "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,

@@ -152,6 +152,8 @@ def links(prints: DataFrame, bits: int = MOST_BITS, block: int = BLOCK) -> DataF
     if not 0 <= bits <= MOST_BITS:
         raise ValueError(f"at most {MOST_BITS} bits: more could differ in two segments by over 2")
     different = written(prints.select("print").distinct(), "prints")
+    # A small table with many keys to come: more tasks than its files have blocks.
+    different = different.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = different.mapInArrow(_keys, "key long, print long")
     parted = _blocks(keys, block).repartition("key").sortWithinPartitions("key")
     return parted.mapInArrow(lambda b: _links(bits, b), "a long, b long")
