@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetbooks.llm import ann, bpe, decontaminate, langid, simhash, toxicity
+from fleetbooks.llm import ann, bpe, decontaminate, langid, linededup, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.without_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     found = toxicity.score(docs, toxicity.fit(docs, labels))
@@ -68,6 +73,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
+    "op3_lines": op3_lines,
     "op4_toxicity": op4_toxicity,
     "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
@@ -76,4 +82,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 # Where SQL can express an operator; the others meet a brute-force version in tests/llm.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_lines": r"""
+        WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+        lines AS (
+            SELECT doc_id, lines, n, lines[n] AS line,
+                len(regexp_extract_all(lines[n], '[^ \t\r\f\x0B]+')) AS words
+            FROM docs, unnest(range(1, len(lines) + 1)) AS t(n)),
+        sums AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY n) AS upto FROM lines),
+        runs AS (
+            SELECT x.doc_id, x.lines, x.n AS s, min(y.n) AS e FROM sums x JOIN sums y
+                ON x.doc_id = y.doc_id AND y.upto >= x.upto - x.words + 5 GROUP BY ALL
+            UNION
+            SELECT y.doc_id, y.lines, max(x.n) AS s, y.n AS e FROM sums x JOIN sums y
+                ON x.doc_id = y.doc_id AND x.upto - x.words <= y.upto - 5 GROUP BY ALL),
+        later AS (
+            SELECT doc_id, s, e, row_number() OVER (
+                PARTITION BY array_to_string(lines[s:e], chr(10)) ORDER BY doc_id, s) AS nth
+            FROM runs),
+        lost AS (SELECT DISTINCT doc_id, n FROM later, unnest(range(s, e + 1)) AS t(n) WHERE nth > 1)
+        SELECT l.doc_id, count(*) AS n_lines, count(d.n) AS n_removed,
+            sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.n) FILTER (d.n IS NULL), '')) AS kept_sha256
+        FROM lines l LEFT JOIN lost d ON l.doc_id = d.doc_id AND l.n = d.n
+        GROUP BY l.doc_id""",
+}
