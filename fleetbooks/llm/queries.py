@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetbooks.llm import ann, bpe, decontaminate, langid, linededup, simhash, toxicity
+from fleetbooks.llm import ann, bpe, decontaminate, extract, langid, linededup, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -66,6 +66,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract.extract(_read(spark, sf_dir, "pages"))
+    return found.select("*", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "embeddings")
     return ann.nearest(rows, rows.filter(F.col("vec_id") % 100 == 0))
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
+    "op9_extraction": op9_extraction,
     "op10_neighbours": op10_neighbours,
 }
 
