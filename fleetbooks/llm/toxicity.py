@@ -22,7 +22,7 @@ from fleetbooks.llm import charlm
 from fleetbooks.llm.common import buffers, chunks, lists, text_or_empty, written
 from fleetbooks.llm.langid import held_out
 
-SAMPLE = 30_000
+SAMPLE = 20_000
 FEATURES = 5_000
 THRESHOLD = 0.3
 PREFIXES = range(3, 9)
@@ -40,6 +40,9 @@ HIDDEN = "*#"  # may hide any letter between two others
 
 _SIGNS = re.escape("".join(LEET) + HIDDEN)
 _APART = re.compile(r"(?<![^\W_])(?:[^\W_](?: |[.\-_*~ ]{1,3})){3,}[^\W_](?![^\W_])")
+# Two letters on their own with a space between; without, there is nothing set apart
+# that is not one token.
+_SINGLES = re.compile(r"(?:^|[ \n.\-_*~])[^\W_][.\-_*~ ]{0,2} [.\-_*~ ]{0,2}[^\W_](?![^\W_])")
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGE = re.compile(r"^[^\w$@!|+(<{€£]+|[^\w$@€£]+$|([$@€£])\1\1[^\w]*$")
 _SIGN = re.compile(f"[{_SIGNS}]")
@@ -78,6 +81,9 @@ class Reader:
 
     def token(self, token: str) -> tuple[list[str], bool]:
         """Words of one lower-case token without white space; whether they were disguised."""
+        bare = token.rstrip(".,;:!?")
+        if bare.isalpha() and not _LONG_RUN.search(bare):
+            return [bare], False
         found = self.known.get(token)
         if found is None:
             if len(self.known) >= REMEMBERED:
@@ -105,19 +111,19 @@ class Reader:
             places.append([(part[0], 0.0), *signs] if len(part[0]) == 1 and part[0].isalnum() else [("", 0.4), (" ", 1.0)])
         return charlm.read(places, self.cost)
 
-    def words(self, text: str, restored: list[tuple[str, str]] | None = None) -> Iterator[list[str]]:
-        """Lists of words, each different token of a text once."""
+    def set_apart(self, text: str) -> Iterator[tuple[str, list[str]]]:
+        """Runs of single letters in a lower-case text, and the words they are read as."""
+        if _SINGLES.search(text):
+            for run in _APART.finditer(text):
+                yield run[0], _WORD.findall(self.apart(run[0]))
+
+    def words(self, text: str) -> Iterator[str]:
+        """Words of a text as restored; each different token counts once."""
         text = text.lower()
         for token in set(text.split()):
-            found, disguised = self.token(token)
-            if disguised and restored is not None:
-                restored.append((token, " ".join(found)))
-            yield found
-        for run in _APART.finditer(text):
-            found = self.apart(run[0])
-            if restored is not None:
-                restored.append((run[0], found))
-            yield _WORD.findall(found)
+            yield from self.token(token)[0]
+        for _, words in self.set_apart(text):
+            yield from words
 
 
 def features(words: Iterable[str]) -> set[str]:
@@ -134,7 +140,7 @@ def _evidence(cost: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[p
     reader, toxic, clean = Reader(cost), Counter(), Counter()
     for batch in batches:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            own = features(w for words in reader.words(text) for w in words)
+            own = features(reader.words(text))
             (toxic if label else clean).update(own)
     names = list(toxic | clean)
     for low in range(0, len(names), 50_000):
@@ -148,25 +154,45 @@ class Scorer:
 
     def __init__(self, cost: np.ndarray, place: dict[str, int]) -> None:
         self.reader, self.place = Reader(cost), place
+        self.roots = {x.rstrip("*")[: PREFIXES[0]] for x in place}
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def of(self, text: str, restored: list[tuple[str, str]] | None = None) -> list[int]:
-        found: set[int] = set()
+    def token(self, token: str, restored: list[tuple[str, str]]) -> tuple[int, ...]:
+        words, disguised = self.reader.token(token)
+        if disguised:
+            restored.append((token, " ".join(words)))
+        found = tuple(k for w in words for k in self.word(w))
+        # A disguised token is looked at each time, to be told of.
+        if not disguised:
+            self.known[token] = found
+        return found
+
+    def word(self, word: str) -> list[int]:
+        if word[: PREFIXES[0]] not in self.roots:
+            return []
+        return [self.place[x] for x in features([word]) if x in self.place]
+
+    def of(self, text: str, restored: list[tuple[str, str]]) -> list[int]:
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        for words in self.reader.words(text, restored):
-            for word in words:
-                own = self.known.get(word)
-                if own is None:
-                    own = self.known[word] = tuple(self.place[x] for x in features([word]) if x in self.place)
+        found: set[int] = set()
+        known, text = self.known, text.lower()
+        for token in set(text.split()):
+            own = known.get(token)
+            if own is None:
+                own = self.token(token, restored)
+            if own:
                 found.update(own)
+        for run, words in self.reader.set_apart(text):
+            restored.append((run, " ".join(words)))
+            found.update(k for w in words for k in self.word(w))
         return sorted(found)
 
 
 def _placed(cost: np.ndarray, place: dict[str, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(cost, place)
     for batch in batches:
-        own = pa.array([scorer.of(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
+        own = pa.array([scorer.of(t, []) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), own], ["toxic", "own"])
 
 
