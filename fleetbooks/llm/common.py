@@ -41,10 +41,11 @@ def text_or_empty(name: str) -> Column:
 
 
 def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all rows end to end, and the n + 1 places where rows begin."""
-    if array.null_count:
-        array = pc.fill_null(array, "")
-    array = array.cast(pa.large_string())
+    """Bytes of all rows end to end (text as UTF-8), and the n + 1 places where rows begin."""
+    if pa.types.is_binary(array.type) or pa.types.is_large_binary(array.type):
+        array = pc.fill_null(array.cast(pa.large_binary()), b"")
+    else:
+        array = pc.fill_null(array.cast(pa.large_string()), "")
     if not len(array):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, starts, data = array.buffers()

@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetbooks.llm import ann, bpe, decontaminate, extract, langid, linededup, simhash, toxicity
+from fleetbooks.llm import ann, bpe, bytededup, decontaminate, extract, langid, linededup, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bytededup.without_repeats(_read(spark, sf_dir, "documents"))
+    n_spans = F.size("spans").cast("long").alias("n_spans")
+    return found.select("doc_id", "n_bytes", "n_removed", n_spans, F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held = langid.held_out("doc_id")
@@ -77,6 +83,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bytes": op1_bytes,
     "op2_language": op2_language,
     "op3_lines": op3_lines,
     "op4_toxicity": op4_toxicity,
@@ -89,6 +96,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 # Where SQL can express an operator; the others meet a brute-force version in tests/llm.
 SQL: dict[str, str] = {
+    "op1_bytes": r"""
+        WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        strings AS (
+            SELECT doc_id, p, row_number() OVER (PARTITION BY substr(h, 2 * p + 1, 200) ORDER BY doc_id, p) AS nth
+            FROM docs, unnest(range(0, len(h) // 2 - 99)) AS t(p)),
+        later AS (
+            SELECT doc_id, p, p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, -1) AS begins
+            FROM strings WHERE nth > 1),
+        numbered AS (SELECT *, count(*) FILTER (begins) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM later),
+        spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM numbered GROUP BY doc_id, run),
+        cuts AS (
+            SELECT doc_id, a, b FROM spans
+            UNION ALL SELECT doc_id, len(h) // 2 AS a, len(h) // 2 AS b FROM docs),
+        gaps AS (
+            SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS since FROM cuts)
+        SELECT d.doc_id, any_value(len(h) // 2) AS n_bytes, sum(g.b - g.a)::BIGINT AS n_removed,
+            count(*) - 1 AS n_spans,
+            sha256(unhex(string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a, b))) AS kept_sha256
+        FROM docs d JOIN gaps g ON d.doc_id = g.doc_id GROUP BY d.doc_id""",
     "op3_lines": r"""
         WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
         lines AS (
