@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetbooks.llm.common import blob_bytes, buffers, chunks, lists, lowered, mixed, ragged, text_or_empty
+from fleetbooks.llm.common import blob_bytes, buffers, chunks, lists, lowered, mixed, ragged, text_or_empty, written
 from fleetbooks.llm.fm_index import FMIndex
 from fleetbooks.llm.words import Hasher, word_places
 
@@ -251,3 +251,13 @@ def contamination(
     found = found.mapInArrow(_merged, f"id {kind}, n_words long, n_hit long, {spans}, items array<string>")
     items = F.array_sort(F.array_distinct("items")).alias("items")
     return found.select(F.col("id").alias(id), "n_words", "n_hit", items, "spans")
+
+
+def clean(docs: DataFrame, tests: DataFrame, share: int = 20, **names: str) -> DataFrame:
+    """The rows of ``docs`` of whose words less than one in ``share`` is hit, with all
+    their columns. ``names`` are those of ``contamination``."""
+    id, text = names.pop("id", "doc_id"), names.pop("text", "text")
+    keyed = docs.select(F.struct(F.col(id), F.xxhash64(F.col(text))).alias("key"), F.struct("*").alias("row"))
+    found = contamination(keyed.select("key", F.col(f"row.`{text}`").alias("text")), tests, "key", **names)
+    bad = found.filter((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).select("key").distinct()
+    return keyed.join(written(bad, "contaminated"), "key", "left_anti").select("row.*")

@@ -99,11 +99,15 @@ SQL: dict[str, str] = {
     "op1_bytes": r"""
         WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
         strings AS (
-            SELECT doc_id, p, row_number() OVER (PARTITION BY substr(h, 2 * p + 1, 200) ORDER BY doc_id, p) AS nth
+            SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS string
             FROM docs, unnest(range(0, len(h) // 2 - 99)) AS t(p)),
+        firsts AS (
+            SELECT string, min({'d': doc_id, 'p': p}) AS first FROM strings GROUP BY string HAVING count(*) > 1),
+        repeats AS (
+            SELECT doc_id, p FROM strings JOIN firsts USING (string) WHERE {'d': doc_id, 'p': p} <> first),
         later AS (
             SELECT doc_id, p, p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, -1) AS begins
-            FROM strings WHERE nth > 1),
+            FROM repeats),
         numbered AS (SELECT *, count(*) FILTER (begins) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM later),
         spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM numbered GROUP BY doc_id, run),
         cuts AS (
@@ -137,4 +141,31 @@ SQL: dict[str, str] = {
             sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.n) FILTER (d.n IS NULL), '')) AS kept_sha256
         FROM lines l LEFT JOIN lost d ON l.doc_id = d.doc_id AND l.n = d.n
         GROUP BY l.doc_id""",
+    "op8_decontamination": r"""
+        WITH lowered AS (
+            SELECT true AS test, item_id AS id, text FROM benchmark
+            UNION ALL SELECT false, doc_id, text FROM documents),
+        words AS (
+            SELECT test, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM lowered),
+        items AS (SELECT id AS item_id, w, least(len(w), 13) AS size FROM words WHERE test AND len(w) > 0),
+        windows AS (
+            SELECT item_id, size, array_to_string(w[p:p + size - 1], ' ') AS phrase
+            FROM items, unnest(range(1, len(w) - size + 2)) AS t(p)),
+        places AS (
+            SELECT id AS doc_id, p, size, array_to_string(w[p:p + size - 1], ' ') AS phrase
+            FROM words, (SELECT DISTINCT size FROM items) AS s, unnest(range(1, len(w) - size + 2)) AS t(p)
+            WHERE NOT test),
+        hits AS (SELECT doc_id, p, size, item_id FROM places JOIN windows USING (size, phrase)),
+        hit_words AS (
+            SELECT doc_id, count(DISTINCT n) AS n_hit FROM hits, unnest(range(p, p + size)) AS t(n) GROUP BY doc_id),
+        hit_items AS (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits),
+        named AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM hit_items GROUP BY doc_id)
+        SELECT id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM words LEFT JOIN hit_words h ON id = h.doc_id LEFT JOIN named n ON id = n.doc_id WHERE NOT test""",
 }

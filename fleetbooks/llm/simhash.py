@@ -181,3 +181,22 @@ def near_copies(
     least = written(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "components")
     found = rooted.join(least, "root")
     return found.select(F.col("id").alias(id), hexed(F.col("print")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(
+    rows: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = MOST_BITS
+) -> DataFrame:
+    """Of each group that ``near_copies`` links the row with the smallest id, with all its
+    columns. A missing id is the smallest; of rows with one id, a hash of the text
+    decides, and of rows equal in both one stays."""
+    keyed = rows.select(
+        F.struct(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("print")).alias("key"),
+        text_or_empty(text).alias("text"),
+        F.struct("*").alias("row"),
+    )
+    found = written(near_copies(keyed.select("key", "text"), "key", "text", shingle, bits), "groups")
+    stays = written(found.filter("key = component_id").groupBy("key").count(), "stays")
+    kept = keyed.join(stays, "key").select("key", "count", "row")
+    if not stays.filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["key"])
+    return kept.select("row.*")

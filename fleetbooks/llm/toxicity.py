@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -297,3 +298,17 @@ def score(rows: DataFrame, model: dict, id: str = "doc_id", text: str = "text")
     found = rows.mapInArrow(lambda b: _scored(shared.value, b), kind)
     predicted = (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     return found.select(F.col("id").alias(id), "score", predicted, "restored")
+
+
+def clean(rows: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """The rows that are not predicted toxic, with all their columns."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.fill_null(batch.column(text).cast(pa.string()), "")
+            own = pa.RecordBatch.from_arrays([texts, texts], ["id", "text"])
+            scores = [np.asarray(x.column("score")) for x in _scored(shared.value, iter([own]))]
+            yield batch.filter(pa.array(np.concatenate([*scores, np.zeros(0)]) < THRESHOLD))
+
+    return rows.mapInArrow(run, rows.schema)
