@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetbooks.llm import ann, bpe, bytededup, decontaminate, extract, langid, linededup, simhash, toxicity
+from fleetbooks.llm import ann, bpe, bytededup, decontaminate, extract, langid, linededup, simhash, tokencount, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = tokencount.load(public_tokenizers.path("piece_bpe_32k.model"))
+    return tokencount.token_counts(_read(spark, sf_dir, "documents"), vocabulary)
+
+
 def token_digest(docs: DataFrame, path: str) -> DataFrame:
     """Documents as token ids and back: count and hashes."""
     rows = bpe.encode(docs.select("doc_id", "text"), path, keep=False).select(
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_lines": op3_lines,
     "op4_toxicity": op4_toxicity,
+    "op5_token_counts": op5_token_counts,
     "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
