@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from fleetbooks.llm.common import buffers, chunks, lists, ragged, strings
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 # Words remembered by a task; when there are more it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 
 # Bytes of text that are encoded at once.
 STEP = 500_000
@@ -96,22 +97,26 @@ def merged(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     counts = np.zeros(len(words), np.int64)
     kept: list[tuple[np.ndarray, np.ndarray]] = []
     none = np.int64(len(v.made))
+
+    def ranked(at: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs that begin at some places."""
+        after = np.minimum(at + 1, len(symbols) - 1)
+        pair = symbols[at] * v.size + symbols[after]
+        key = np.minimum(np.searchsorted(v.keys, pair), len(v.keys) - 1)
+        return np.where((v.keys[key] == pair) & (owner[at] == owner[after]) & (at < after), v.ranks[key], none)
+
+    rank = ranked(np.arange(len(symbols)))
     while len(symbols):
-        pair = symbols[:-1] * v.size + symbols[1:]
-        at = np.minimum(np.searchsorted(v.keys, pair), len(v.keys) - 1)
-        rank = np.append(np.where((v.keys[at] == pair) & (owner[:-1] == owner[1:]), v.ranks[at], none), none)
         begins = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         lowest = np.minimum.reduceat(rank, begins)
-        sizes = np.diff(np.append(begins, len(owner)))
-        here = np.repeat(lowest, sizes)
+        here = np.repeat(lowest, np.diff(np.append(begins, len(owner))))
         open_ = here < none
         if not open_.all():  # words without a pair to merge are done
             kept.append((symbols[~open_], owner[~open_]))
             symbols, owner, rank, here = symbols[open_], owner[open_], rank[open_], here[open_]
             if not len(symbols):
                 break
-        hit = rank == here
-        spot = np.flatnonzero(hit)
+        spot = np.flatnonzero(rank == here)
         # Of pairs that overlap (a a a), every second one from the first on.
         new_run = np.append(True, np.diff(spot) != 1)
         run_start = spot[new_run][np.cumsum(new_run) - 1]
@@ -119,7 +124,11 @@ def merged(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         symbols[spot] = v.made[rank[spot]]
         stay = np.ones(len(symbols), bool)
         stay[spot + 1] = False
-        symbols, owner = symbols[stay], owner[stay]
+        symbols, owner, rank = symbols[stay], owner[stay], rank[stay]
+        # Only pairs with a new symbol have new ranks.
+        spot = spot - np.arange(len(spot))
+        changed = np.concatenate([spot, np.maximum(spot - 1, 0)])
+        rank[changed] = ranked(changed)
     if not kept:
         return np.zeros(0, np.int64), counts
     symbols, owner = (np.concatenate(x) for x in zip(*kept))
@@ -163,12 +172,11 @@ class Encoder:
         if len(self.place) > REMEMBERED:
             self.forget()
         rows = [self.words(t) for t in texts]
-        new = {w: None for row in rows for w in row if w not in self.place}
+        new = [w for w in set(chain.from_iterable(rows)) if w not in self.place]
         if new:
-            words = list(new)
-            self._add(words, *merged([w.encode() for w in words], self.v))
+            self._add(new, *merged([w.encode() for w in new], self.v))
         sizes = np.array([len(r) for r in rows], np.int64)
-        which = np.fromiter((self.place[w] for r in rows for w in r), np.int64, int(sizes.sum()))
+        which = np.fromiter(map(self.place.__getitem__, chain.from_iterable(rows)), np.int64, int(sizes.sum()))
         lengths = self.starts[which + 1] - self.starts[which]
         ids = self.ids[ragged(self.starts[which], lengths)]
         total = np.concatenate([[0], np.cumsum(lengths)])
