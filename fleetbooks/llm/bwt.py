@@ -22,35 +22,41 @@ def transforms(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.nda
     before it, and the row of the suffix one symbol longer.
     """
     n = len(data)
-    text = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, n)))
+    text = np.zeros(n, np.uint16 if len(begins) < 1 << 16 else np.int64)
+    text[begins[1:]] = 1
+    text = np.cumsum(text, dtype=text.dtype)
     words = _words(data)
-    order = np.lexsort((words, text))
-    # Suffixes of a text that agree so far are told apart by what follows.
-    depth = 0
-    tied = np.arange(n)
+    order = np.argsort(words)
+    order = order[np.argsort(text[order], kind="stable")]
     key = words[order]
-    # A word with a 0 in it reaches the end of its text, and ends the comparison.
-    group = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (text[order][1:] != text[order][:-1])))
-    while True:
-        sizes = np.bincount(group)
-        open_ = sizes[group] > 1
-        ends = np.append(begins[1:], n)[text[order[tied]]] - 1
-        open_ &= order[tied] + depth + 8 <= ends
-        tied, group = tied[open_], group[open_]
-        if not len(tied):
-            break
-        depth += 8
-        suffix = order[tied]
-        key = words[np.minimum(suffix + depth, n - 1)]
+    # Suffixes of a text that agree so far, and so do not reach its end, are told
+    # apart by the ranks of what follows, each time twice as far on.
+    new = np.ones(n, bool)
+    new[1:] = (key[1:] != key[:-1]) | (text[order][1:] != text[order][:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank = np.empty(n, np.int64)
+    rank[order] = first
+    alone = new & np.append(new[1:], True)
+    tied = np.flatnonzero(~alone)
+    depth = 8
+    while len(tied):
+        suffix, group = order[tied], first[tied]
+        key = rank[suffix + depth]
         inner = np.lexsort((key, group))
-        order[tied] = suffix[inner]
-        key, group = key[inner], group[inner]
-        group = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (group[1:] != group[:-1])))
-    row = np.empty(n, np.int64)
+        suffix, group, key = suffix[inner], group[inner], key[inner]
+        order[tied] = suffix
+        new = np.ones(len(tied), bool)
+        new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
+        first[tied] = np.maximum.accumulate(np.where(new, tied, 0))
+        rank[suffix] = first[tied]
+        tied = tied[~(new & np.append(new[1:], True))]
+        depth *= 2
+    row = rank
     row[order] = np.arange(n)
-    first = np.isin(order, begins)
-    before = np.where(first, 0, data[order - 1]).astype(np.uint8)
-    return order, before, np.where(first, -1, row[order - 1])
+    begin = np.zeros(n, bool)
+    begin[begins] = True
+    begin = begin[order]
+    return order, np.where(begin, 0, data[order - 1]).astype(np.uint8), np.where(begin, -1, row[order - 1])
 
 
 def repeats(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,30 +64,33 @@ def repeats(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarr
     each the number of its interval; intervals are numbered in order.
 
     The transforms of the texts are merged by refining their interleave: it begins
-    as one after the other, and each round deals the rows out by the symbol before
-    them, which orders the suffixes one symbol longer. Rows that agreed so far and
-    get the same symbol stay in one block, so after as many rounds as ``length`` a
-    block is an interval of the merged transform with that common prefix. A row
-    alone in its block cannot become part of a repeat any more, nor can what lies
-    before it; it leaves. So do, from the start, rows from which no full string can
-    be reached.
+    as one after the other, and each round deals the rows out by the two symbols
+    before them, which orders the suffixes two symbols longer. Rows that agreed so
+    far and get the same symbols stay in one block, so when the rounds have gone
+    through ``length`` symbols, a block is an interval of the merged transform with
+    that common prefix. A row alone in its block cannot become part of a repeat any
+    more, nor can what lies before it; it leaves. So do, from the start, rows from
+    which no full string can be reached.
     """
     order, before, longer = transforms(data, begins)
     ends = np.append(begins[1:], len(data)) - 1
     text = np.searchsorted(begins, order, "right") - 1
-    rows = np.flatnonzero((order >= begins[text] + length) & (order <= ends[text]))
+    rows = np.flatnonzero((order >= begins[text] + length) & (order <= ends[text])).astype(np.int32)
+    longer = longer.astype(np.int32)
+    two = before[longer].astype(np.uint16) << 8 | before
+    second = longer[longer]
     block = np.zeros(len(rows), np.int32)
-    before, longer = before, longer.astype(np.int32)
-    rows = rows.astype(np.int32)
-    for done in range(1, length + 1):
-        symbol = before[rows]
+    for done in range(length % 2, length + 1, 2):
+        if not done:
+            continue
+        # An odd length begins with one symbol alone.
+        symbol, onward = (before.take(rows), longer) if done == 1 else (two.take(rows), second)
         deal = np.argsort(symbol, kind="stable")
-        rows, block, symbol = longer[rows[deal]], block[deal], symbol[deal]
+        rows, block, symbol = onward.take(rows.take(deal)), block.take(deal), symbol.take(deal)
         new = np.ones(len(rows), bool)
         new[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
-        if done % 4 == 0 or done == length:
-            alone = new.copy()
-            alone[:-1] &= new[1:]
+        if done % 8 < 2 or done == length:
+            alone = new & np.append(new[1:], True)[: len(new)]
             if alone.any():
                 rows, new = rows[~alone], new[~alone]
         block = np.cumsum(new, dtype=np.int32)
