@@ -32,7 +32,7 @@ LENGTH = 100
 GRAMS = (40, 92)  # part of LENGTH, in percent of it
 PIECES = 30_000  # different pieces under one hash before it is cut again
 BIN = 500_000  # bytes that are merged together
-HELD = 1_000_000  # pieces that a task sums up at once
+HELD = 500_000  # pieces that a task sums up at once
 
 SPAN = "id long, print long, a long, b long"
 

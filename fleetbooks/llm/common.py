@@ -13,7 +13,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Bytes of text that one numpy step works on; a longer text is a step of its own.
-CHUNK = 2_000_000
+CHUNK = 400_000
+
+
+# Bytes of a batch that goes to Python; with Spark's own limit of 10,000 rows alone, a
+# batch of long texts takes hundreds of MB on either side.
+BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python, unless the session says how large they are."""
+    if spark.conf.get(BATCH_KEY, "") == "":
+        spark.conf.set(BATCH_KEY, BATCH)
 
 
 def shared_folder(spark: SparkSession) -> str:
