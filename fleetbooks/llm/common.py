@@ -23,7 +23,7 @@ BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds the batches that go to Python, unless the session says how large they are."""
-    if spark.conf.get(BATCH_KEY, "") == "":
+    if spark.conf.get(BATCH_KEY, "0") == "0":
         spark.conf.set(BATCH_KEY, BATCH)
 
 
