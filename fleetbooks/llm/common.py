@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 CHUNK = 400_000
 
 
-# Bytes of a batch that goes to Python; with Spark's own limit of 10,000 rows alone, a
-# batch of long texts takes hundreds of MB on either side.
+# Bytes of a batch that goes to Python. Spark's own limits, 64 MB and 10,000 rows, let
+# batches of texts take hundreds of MB of a worker.
 BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds the batches that go to Python, unless the session says how large they are."""
-    if spark.conf.get(BATCH_KEY, "0") == "0":
+    if spark.conf.get(BATCH_KEY, None) is None:
         spark.conf.set(BATCH_KEY, BATCH)
 
 
