@@ -317,12 +317,12 @@ PAIRS += [
         lambda b: b.employee_advances(),
         _text_edit(
             "employee_advances",
-            ingest.ingest_advances,
+            ingest.advance_edits,
             lambda: {
                 "employee_name": F.lit("E1"),
                 "date": F.lit("2024-02-03"),
                 "amount": _amount(),
-                "purpose": F.lit("edited"),
+                "purpose": F.when(F.col("id") % 2 == 0, "edited"),
             },
         ),
         "employee_advances",
@@ -333,7 +333,7 @@ PAIRS += [
             "employee_name": "'E1'",
             "date": "DATE '2024-02-03'",
             "amount": "e.amount",
-            "purpose": "'edited'",
+            "purpose": "CASE WHEN t.id % 2 = 0 THEN 'edited' END",
         },
     ),
     _edit(
@@ -397,10 +397,10 @@ PAIRS += [
         lambda b: b.company_payments(),
         _text_edit(
             "company_payments",
-            ingest.ingest_company_payments,
+            ingest.company_payment_edits,
             lambda: {
                 "payment_date": F.lit("2000-01-02"),
-                "company_name": F.lit(" Someone "),
+                "company_name": F.when(F.col("id") % 2 == 0, " _new ").otherwise(" Someone "),
                 "received_amount": _amount(),
                 "payment_mode": F.lit("upi"),
                 "reference_number": F.lit(" R "),
@@ -414,7 +414,7 @@ PAIRS += [
         _AMOUNT_SQL,
         {
             "payment_date": "DATE '2000-01-02'",
-            "company_name": "'Someone'",
+            "company_name": "CASE WHEN t.id % 2 = 0 THEN '_new' ELSE 'Someone' END",
             "received_amount": "e.amount",
             "payment_mode": "'upi'",
             "reference_number": "'R'",

@@ -16,21 +16,18 @@ TXN = (
     " CAST(t.amount AS DOUBLE) AS amount, t.description, t.reference_no, t.created_at"
 )
 
-BALANCE = """
-SELECT emp.employee_name, COALESCE(a.total, 0) AS total_advances, COALESCE(e.total, 0) AS total_expenses,
-       COALESCE(a.total, 0) - COALESCE(e.total, 0) AS balance
-FROM (SELECT DISTINCT employee_name FROM employee_advances WHERE employee_name IS NOT NULL AND employee_name <> ''
-      UNION SELECT DISTINCT spended_by FROM spendings WHERE spended_by IS NOT NULL AND spended_by <> '') emp
-LEFT JOIN (SELECT employee_name, SUM(amount) AS total FROM employee_advances GROUP BY employee_name) a
-       ON emp.employee_name = a.employee_name
-LEFT JOIN (SELECT spended_by, SUM(amount) AS total FROM spendings GROUP BY spended_by) e
-       ON emp.employee_name = e.spended_by"""
-BALANCE_OF_ADVANCED = """
-SELECT adv.employee_name, COALESCE(SUM(adv.amount), 0) AS total_advances,
-       COALESCE((SELECT SUM(s.amount) FROM spendings s WHERE s.spended_by = adv.employee_name), 0) AS total_expenses,
-       COALESCE(SUM(adv.amount), 0)
-         - COALESCE((SELECT SUM(s.amount) FROM spendings s WHERE s.spended_by = adv.employee_name), 0) AS balance
-FROM employee_advances adv GROUP BY adv.employee_name"""
+# Advances and expenses are added up by name, each on its own; the totals meet by name.
+_TOTALS = """
+WITH given AS (SELECT employee_name AS name, SUM(amount) AS total FROM employee_advances GROUP BY ALL),
+     spent AS (SELECT spended_by AS name, SUM(amount) AS total FROM spendings GROUP BY ALL),
+     books AS (
+       SELECT COALESCE(given.name, spent.name) AS employee_name, given.name IS NOT NULL AS advanced,
+              COALESCE(given.total, 0) AS total_advances, COALESCE(spent.total, 0) AS total_expenses
+       FROM given FULL JOIN spent USING (name))
+SELECT employee_name, total_advances, total_expenses, total_advances - total_expenses AS balance FROM books"""
+# Everyone whose name has text; or everyone with an advance.
+BALANCE = f"{_TOTALS} WHERE length(employee_name) > 0"
+BALANCE_OF_ADVANCED = f"{_TOTALS} WHERE advanced"
 AS_DOUBLE = (
     "employee_name, CAST(total_advances AS DOUBLE) AS total_advances,"
     " CAST(total_expenses AS DOUBLE) AS total_expenses, CAST(balance AS DOUBLE) AS balance"

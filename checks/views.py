@@ -267,6 +267,25 @@ class Books:
         return seqs.select("id", F.col("seq").cast("long"), *[c.alias(n) for n, c in fields.items()])
 
 
+class OddBooks(Books):
+    """The same books with the odd values that the given tables lack: spendings without
+    vehicle, month or mark, with an empty payer, and with months that are no first day."""
+
+    def spendings(self, month: dt.date | None = None) -> DataFrame:
+        every = lambda n: F.col("id") % n == 0
+        return super().spendings(month).withColumns(
+            {
+                "vehicle_id": F.when(~every(7), F.col("vehicle_id")),
+                "expense_month": F.when(every(11), None).when(every(13), F.col("date")).otherwise(F.col("expense_month")),
+                "spended_by": F.when(every(5) & F.col("spended_by").isNull(), "").otherwise(F.col("spended_by")),
+                "marked": F.when(~every(3), F.col("marked")),
+            }
+        )
+
+    def keys(self, table: str) -> DataFrame:
+        return Books(self.spark, self.sf_dir).keys(table)
+
+
 # The same tables for the SQL check.
 VIEWS: dict[str, str] = {
     "vehicles": """
@@ -289,6 +308,13 @@ SELECT l_orderkey AS id, l_suppkey AS vehicle_id,
             ELSE 'Automatic' END AS mode,
        (l_linenumber % 2 = 0) AS marked
 FROM lineitem""",
+    "odd_spendings": """
+SELECT * REPLACE (
+    CASE WHEN id % 7 <> 0 THEN vehicle_id END AS vehicle_id,
+    CASE WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN date ELSE expense_month END AS expense_month,
+    CASE WHEN id % 5 = 0 AND spended_by IS NULL THEN '' ELSE spended_by END AS spended_by,
+    CASE WHEN id % 3 <> 0 THEN marked END AS marked)
+FROM spendings""",
     "payments": """
 SELECT o_orderkey AS id, o_custkey AS company_id,
        CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_custkey % 10 END AS vehicle_id,

@@ -3,8 +3,9 @@
 Write a version to a new path (``sources.sinks.write_table``); the version
 being read is never overwritten. Keys are few compared with the table, so the
 table is not sorted or regrouped: a key list that is small enough is sent to
-the table's rows, a long one is joined, and a key with a very large share of
-the rows is split by Spark's skew handling, which covers every join used here.
+the table's rows, a long one is joined. Either side of every join here comes from an
+exchange of its own (``common.grouped``, ``common.key_frame``), so that Spark splits a key
+with a very large share of the rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from fleetbooks.functions import dates
 from fleetbooks.functions.text import flipped, with_dated_note
-from fleetbooks.operators.common import SHORT_LIST, flag_ids, in_order, key_frame
+from fleetbooks.operators.common import flag_ids, grouped, in_order, key_frame
 
 Ids = DataFrame | Sequence[int]
 
@@ -49,14 +50,7 @@ def toggle_marks(sp: DataFrame, ids: Ids) -> DataFrame:
 
     An id listed twice is flipped twice.
     """
-    if not isinstance(ids, DataFrame):
-        ids = sp.sparkSession.createDataFrame([(int(i),) for i in ids], "id long")
-    turns = (
-        ids.select(F.col(ids.columns[0]).alias("id"))
-        .filter(F.col("id").isNotNull())
-        .groupBy("id")
-        .agg(F.count(F.lit(1)).alias("__turns"))
-    )
+    turns = grouped(key_frame(sp, ids), ["id"], F.count(F.lit(1)).alias("__turns"))
     once = flipped("marked")
     marked = (
         F.when(F.col("__turns").isNull(), F.col("marked"))
@@ -71,11 +65,10 @@ def toggle_marks(sp: DataFrame, ids: Ids) -> DataFrame:
 def _present(keys: DataFrame, base: DataFrame, key: str) -> DataFrame:
     """The keys that ``base`` has.
 
-    The table is cut down to the wanted keys before they are made distinct, so
-    its other keys are dropped at the scan.
+    The table is cut down to the wanted keys before they are made distinct; if
+    these are few, its other keys are dropped at the scan.
     """
-    wanted = keys.select(key).distinct()
-    return base.select(key).join(wanted, key, "left_semi").distinct()
+    return grouped(base.select(key).join(keys.select(key), key, "left_semi"), [key])
 
 
 def require_existing(changes: DataFrame, base: DataFrame, key: str = "id") -> DataFrame:
@@ -92,12 +85,14 @@ def latest_per_key(changes: DataFrame, key: str, seq: str | None = None) -> Data
     """One change per key as (key, struct ``change``): the last by ``seq``.
 
     A map-side combined MAX over the whole row, so a key that is changed
-    without end never gathers in one task. Without ``seq``, or where it ties,
-    the largest row counts, which is at least the same one every time.
+    without end never gathers in one task. A MAX of rows with text is a sorted
+    aggregation: the changes, not the table, are sorted before they move. Without
+    ``seq``, or where it ties, the largest row counts, which is at least the same
+    one every time.
     """
     values = [c for c in changes.columns if c not in (key, seq)]
     order = [seq] if seq is not None else []
-    return changes.groupBy(key).agg(F.max(F.struct(*order, *values)).alias("change"))
+    return grouped(changes, [key], F.max(F.struct(*order, *values)).alias("change"))
 
 
 def apply_updates(
@@ -125,13 +120,14 @@ def apply_updates(
     )
 
 
-def delete_rows(base: DataFrame, ids: Ids, key: str = "id") -> DataFrame:
+def delete_rows(base: DataFrame, ids: Ids, key: str = "id", joined: bool = False) -> DataFrame:
     """The table without the listed rows.
 
     Also the cascade to a child table, with ``key`` the child's foreign key: a
-    NULL key refers to nothing and its row stays.
+    NULL key refers to nothing and its row stays. ``joined`` joins a Python list
+    instead of testing it in a predicate.
     """
-    if not isinstance(ids, DataFrame) and len(ids) <= SHORT_LIST:
+    if not isinstance(ids, DataFrame) and not joined:
         listed = F.col(key).isin([int(i) for i in ids])
         return base.filter(~F.coalesce(listed, F.lit(False)))
     kept = base.join(key_frame(base, ids, key), key, "left_anti")

@@ -11,13 +11,9 @@ from pyspark.sql import functions as F
 from fleetbooks.functions.predicates import any_cell_contains, contains_text
 
 # What one task should have of one key in a fan-out join: result rows, and rows
-# of either side. Keys above are split, the heaviest HOT_KEYS of them.
+# of either side. Keys above are split.
 PAIRS_PER_PIECE = 10_000_000
 ROWS_PER_PIECE = 1_000_000
-HOT_KEYS = 10_000
-
-# A Python list of ids becomes an IN predicate up to this length.
-SHORT_LIST = 1_000
 
 
 def _tie_break(df: DataFrame, used: Iterable[str], everything: bool) -> list[Column]:
@@ -68,31 +64,57 @@ def recent(df: DataFrame, n: int, *dates: str) -> DataFrame:
 
 
 def key_frame(like: DataFrame, ids: DataFrame | Sequence[int], key: str = "id") -> DataFrame:
-    """Distinct non-null keys as a one-column frame named ``key``."""
+    """Non-null keys as a one-column frame named ``key``, as often as they are listed.
+
+    Semi and anti joins take it as it is: they do not mind repeats, and both sides
+    then come straight from their exchange, so that Spark can split a hot key.
+    """
     if not isinstance(ids, DataFrame):
         ids = like.sparkSession.createDataFrame([(int(i),) for i in ids], f"{key} long")
-    return ids.select(F.col(ids.columns[0]).alias(key)).filter(F.col(key).isNotNull()).distinct()
+    return ids.select(F.col(ids.columns[0]).alias(key)).filter(F.col(key).isNotNull())
+
+
+def grouped(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
+    """``df`` grouped by ``keys``, as the small side of a join on them.
+
+    The keys are grouped inside a struct. The exchange of the aggregation is then not
+    the one the join wants: the join gets its own, which Spark's skew handling asks
+    for, and a hot key of the other side is split. It moves reduced rows only.
+    """
+    packed = df.groupBy(F.struct(*keys).alias("__key"))
+    rows = packed.agg(*aggs) if aggs else df.select(F.struct(*keys).alias("__key")).distinct()
+    rest = [c for c in rows.columns if c != "__key"]
+    return rows.select(*[F.col("__key")[k].alias(k) for k in keys], *rest)
 
 
-def by_ids(df: DataFrame, ids: DataFrame | Sequence[int], key: str = "id") -> DataFrame:
+def by_ids(
+    df: DataFrame, ids: DataFrame | Sequence[int], key: str = "id", joined: bool = False
+) -> DataFrame:
     """Rows whose key is listed.
 
-    A short Python list is an IN predicate, which reaches the Parquet scan; a
-    frame of any length is a semi join.
+    A Python list is an IN predicate, which reaches the Parquet scan; a frame is a
+    semi join, and so is a list with ``joined``, for lists too long for a predicate.
     """
-    if not isinstance(ids, DataFrame) and len(ids) <= SHORT_LIST:
+    if not isinstance(ids, DataFrame) and not joined:
         return df.filter(F.col(key).isin([int(i) for i in ids]))
-    return df.join(key_frame(df, ids, key), key, "left_semi")
+    return df.join(key_frame(df, ids, key), key, "left_semi").select(*df.columns)
 
 
 def flag_ids(
-    df: DataFrame, ids: DataFrame | Sequence[int], flag: str, key: str = "id"
+    df: DataFrame,
+    ids: DataFrame | Sequence[int],
+    flag: str,
+    key: str = "id",
+    joined: bool = False,
 ) -> DataFrame:
-    """``df`` with a boolean column ``flag``: is the row's key listed?"""
-    if not isinstance(ids, DataFrame) and len(ids) <= SHORT_LIST:
+    """``df`` with a boolean column ``flag``: is the row's key listed?
+
+    ``joined`` joins a Python list instead of testing it in a predicate.
+    """
+    if not isinstance(ids, DataFrame) and not joined:
         listed = F.col(key).isin([int(i) for i in ids])
         return df.withColumn(flag, F.coalesce(listed, F.lit(False)))
-    keys = key_frame(df, ids, key).withColumn(flag, F.lit(True))
+    keys = grouped(key_frame(df, ids, key), [key]).withColumn(flag, F.lit(True))
     return in_order(df.join(keys, key, "left"), df.columns).withColumn(
         flag, F.coalesce(flag, F.lit(False))
     )
@@ -127,29 +149,24 @@ def _hot_keys(
     ``sqrt(pairs)`` rows on both sides repeat the fewest rows; where one side
     is smaller than that, it stays whole and the other is cut.
     """
-    l, r, weight = F.col("__l"), F.col("__r"), F.col("__weight")
+    l, r = F.col("__l"), F.col("__r")
     side = pairs**0.5
 
     def pieces(own: Column, other: Column) -> Column:
         by_pairs = F.ceil(own * F.least(other, F.lit(side)) / pairs)
         return F.greatest(by_pairs, F.ceil(own / rows), F.lit(1)).cast("int")
 
-    counts = (
+    counts = grouped(
         stacked(
             left.select(*keys, F.lit(1).alias("__l"), F.lit(0).alias("__r")),
             right.select(*keys, F.lit(0).alias("__l"), F.lit(1).alias("__r")),
-        )
-        .groupBy(*keys)
-        .agg(F.sum("__l").alias("__l"), F.sum("__r").alias("__r"))
-    )
-    heavy = counts.withColumn("__weight", l.cast("double") * r + l + r).filter(
-        (l.cast("double") * r > pairs) | (l > rows) | (r > rows)
-    )
-    return (
-        heavy.orderBy(weight.desc(), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys, pieces(l, r).alias("__a"), pieces(r, l).alias("__b"))
+        ),
+        keys,
+        F.sum("__l").alias("__l"),
+        F.sum("__r").alias("__r"),
     )
+    heavy = counts.filter((l.cast("double") * r > pairs) | (l > rows) | (r > rows))
+    return heavy.select(*keys, pieces(l, r).alias("__a"), pieces(r, l).alias("__b"))
 
 
 def fan_out_left_join(
@@ -168,17 +185,16 @@ def fan_out_left_join(
     the ``b`` right pieces and the reverse, so each pair meets exactly once, in
     one of ``a * b`` groups. Other keys keep one piece and join as usual.
 
-    The list of split keys is sent to every task, so neither side is moved
-    before the join itself. It has at most ``HOT_KEYS`` rows, the heaviest; a
-    key that is not among them has less than one part in ``HOT_KEYS`` of the
-    result and needs no split. Which keys are split never changes the result.
+    The list of heavy keys is as long as it is. A short one is broadcast by Spark; a
+    long one is joined, and that join is split by Spark where a key is hot. Which
+    keys are split never changes the result.
 
     A repeated left row may find one of the right pieces empty. That copy is
     dropped: ``b > 1`` says the right side has the key, so the row has its
     matches in another piece. With ``b = 1`` an unmatched row is kept.
     """
     keys = list(keys)
-    hot = F.broadcast(_hot_keys(left, right, keys, pairs_per_piece, rows_per_piece))
+    hot = _hot_keys(left, right, keys, pairs_per_piece, rows_per_piece)
     a, b, one = F.col("__a"), F.col("__b"), F.lit(1)
 
     def dealt(df: DataFrame, own: Column, other: Column, i: str, j: str) -> DataFrame:

@@ -156,7 +156,7 @@ def sales_with_payments(
     )
     rows = fan_out_left_join(left, right, ["company_name", "month_year"])
     if ordered:
-        rows = by_name(rows, "company_name", "sale_date")
+        rows = by_name(rows, "company_name", "sale_date", "id", "payment_id")
     return rows.select(
         "company_name",
         "sale_date",
@@ -176,6 +176,7 @@ def company_ledger(
     company: str,
     month: Month,
     with_mode: bool = False,
+    ordered: bool = True,
 ) -> DataFrame:
     """One company's sales and payments of a month in one list by date.
 
@@ -187,6 +188,7 @@ def company_ledger(
 
     def entry(what: str, date: str, reference: str, amount: str, mode):
         cols = [
+            F.col("id"),
             F.lit(what).alias(kind),
             F.col(date).alias("date"),
             F.col(reference).alias("reference"),
@@ -201,7 +203,9 @@ def company_ledger(
     received = _of_month(pays, month, company).select(
         *entry("payment", "payment_date", "reference_number", "received_amount", F.col("payment_mode"))
     )
-    return by_name(sold.unionByName(received), "date", "reference")
+    rows = sold.unionByName(received)
+    # A day's entries without a reference are told apart by type and id.
+    return (by_name(rows, "date", "reference", kind, "id") if ordered else rows).drop("id")
 
 
 def lookup_sales(sales: DataFrame, keys: DataFrame | Sequence[int]) -> DataFrame:

@@ -74,18 +74,20 @@ def settled_paid(
     return paid_spendings(sp.filter(F.col("date") < dates.days_before(as_of, days)), veh, ordered)
 
 
-def month_detail(sp: DataFrame, veh: DataFrame, month: Month) -> DataFrame:
+def month_detail(sp: DataFrame, veh: DataFrame, month: Month, ordered: bool = True) -> DataFrame:
     """One month's spendings by category and date."""
-    rows = sp.filter(F.col("expense_month") == dates.day(month))
-    return by_name(with_vehicle(rows, veh), "category", "date")
+    rows = with_vehicle(sp.filter(F.col("expense_month") == dates.day(month)), veh)
+    return by_name(rows, "category", "date") if ordered else rows
 
 
-def vehicle_spendings(sp: DataFrame, vehicle_id: int, month: Month | None = None) -> DataFrame:
+def vehicle_spendings(
+    sp: DataFrame, vehicle_id: int, month: Month | None = None, ordered: bool = True
+) -> DataFrame:
     """One vehicle's spendings, optionally of the month with that label."""
     rows = sp.filter(F.col("vehicle_id") == vehicle_id)
     if month is not None:
         rows = rows.filter(dates.in_month("expense_month", month))
-    return newest_first(rows, "date")
+    return newest_first(rows, "date") if ordered else rows
 
 
 def payer_spendings(sp: DataFrame, payer: str) -> DataFrame:
@@ -332,17 +334,19 @@ def payer_balance(pay: DataFrame, sp: DataFrame, payers: Sequence[str] | None =
     """Credit, paid debit and balance, and for each payer what is left of the
     whole credit after what that payer spent (the mode is not looked at).
 
-    Spendings are reduced once, to one row per payer; the two overall figures
-    are scalar subqueries, not joins. ``payers`` fixes the rows; by default
-    every payer with spendings has one.
+    Spendings are read and reduced once, to a row per payer for what is paid and one
+    for the rest; the totals and the payers' sums both start from these. The two
+    overall figures are scalar subqueries, not joins. ``payers`` fixes the rows; by
+    default every payer with spendings has one.
     """
-    per_payer = (
+    parts = (
         sp.filter(F.col("spended_by").isNotNull())
-        .groupBy(F.col("spended_by").alias("payer"))
-        .agg(money.total("amount").alias("spent"), money.total_when(is_paid()).alias("paid"))
+        .groupBy(F.col("spended_by").alias("payer"), is_paid().alias("paid"))
+        .agg(F.sum("amount").alias("amount"))
     )
+    per_payer = parts.groupBy("payer").agg(money.total("amount").alias("spent"))
     credited = pay.agg(money.total("amount")).scalar()
-    debited = per_payer.agg(money.total("paid")).scalar()
+    debited = parts.agg(money.total_when(F.col("paid"))).scalar()
     rows = per_payer
     if payers is not None:
         listed = sp.sparkSession.createDataFrame([(p,) for p in payers], "payer string")

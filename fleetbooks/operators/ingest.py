@@ -31,6 +31,7 @@ from fleetbooks.functions.text import (
     reason_for,
     trimmed,
 )
+from fleetbooks.operators.common import grouped, stacked
 
 # A condition and what is said about an entry that meets it.
 Reason = tuple[Column, str]
@@ -59,9 +60,14 @@ class Checked:
 
     @property
     def accepted(self) -> DataFrame:
-        return self.entries.filter(~self._fails).select(
-            *[c.alias(name) for name, c in self.row.items()]
+        """Fields are parsed once: the verdict is worked out next to them, and goes
+        through a generator of one row, below which Spark does not push the filter
+        (it would parse every field a second time there)."""
+        rows = self.entries.select(
+            *[c.alias(name) for name, c in self.row.items()], self._fails.alias("__fails")
         )
+        told = rows.select(*self.row, F.explode(F.array("__fails")).alias("__out"))
+        return told.filter(~F.col("__out")).select(*self.row)
 
     @property
     def rejected(self) -> DataFrame:
@@ -224,18 +230,27 @@ def ingest_payments(raw: DataFrame) -> Checked:
     return _check(raw, row, text, optional=ids)
 
 
-def ingest_advances(raw: DataFrame) -> Checked:
-    """New advances, and edits of advances: nothing is trimmed."""
+def _advances(raw: DataFrame, purpose: Column) -> Checked:
     text = {name: _field(raw, name) for name in ("employee_name", "date", "amount")}
     row = {
         "employee_name": text["employee_name"],
         "date": parse_day(text["date"]),
         "amount": parse_amount(text["amount"]),
-        "purpose": null_to_blank(_field(raw, "purpose")),
+        "purpose": purpose,
     }
     return _check(raw, row, text)
 
 
+def ingest_advances(raw: DataFrame) -> Checked:
+    """New advances: nothing is trimmed, an absent purpose is blank."""
+    return _advances(raw, null_to_blank(_field(raw, "purpose")))
+
+
+def advance_edits(raw: DataFrame) -> Checked:
+    """Edits of advances: nothing is trimmed, an absent purpose is NULL."""
+    return _advances(raw, _field(raw, "purpose"))
+
+
 # --- hired vehicles and companies -------------------------------------------
 
 
@@ -276,12 +291,21 @@ def ingest_company_sales(raw: DataFrame) -> Checked:
 
 
 def ingest_company_payments(raw: DataFrame) -> Checked:
-    """New receipts, and edits of receipts; a placeholder name takes the typed one."""
+    """New receipts; a placeholder name takes the typed one."""
+    return _receipts(raw, new_or_listed(_field(raw, "company_name"), _field(raw, "new_company_name")))
+
+
+def company_payment_edits(raw: DataFrame) -> Checked:
+    """Edits of receipts; the name is trimmed and knows no placeholder."""
+    return _receipts(raw, trimmed(_field(raw, "company_name")))
+
+
+def _receipts(raw: DataFrame, company: Column) -> Checked:
     text = {
         name: _field(raw, name)
         for name in ("payment_date", "company_name", "received_amount", "payment_mode", "month_year")
     }
-    text["company_name"] = new_or_listed(text["company_name"], _field(raw, "new_company_name"))
+    text["company_name"] = company
     row = {
         "payment_date": parse_day(text["payment_date"]),
         "company_name": text["company_name"],
@@ -301,11 +325,12 @@ def reject_existing(new: DataFrame, base: DataFrame, key: str, seq: str) -> Data
     """Rows of ``new`` whose key is not in ``base``; of several, the first by ``seq``.
 
     The first row is picked with a map-side combined MIN over the whole row, so
-    a key that is repeated without end never gathers in one task.
+    a key that is repeated without end never gathers in one task; as a MIN of rows
+    with text it sorts the new rows first.
     """
-    fresh = new.join(base.select(key).distinct(), key, "left_anti")
+    fresh = new.join(base.select(key), key, "left_anti")
     rest = [c for c in new.columns if c not in (key, seq)]
-    first = fresh.groupBy(key).agg(F.min(F.struct(seq, *rest)).alias("first"))
+    first = grouped(fresh, [key], F.min(F.struct(seq, *rest)).alias("first"))
     return first.select(key, "first.*").select(*new.columns)
 
 
@@ -314,9 +339,20 @@ def _new_names(
 ) -> Checked:
     """Entries whose name is neither empty, nor known, nor entered before in the batch."""
     entries = raw.withColumn("__name", name)
-    first = entries.groupBy("__name").agg(F.min(seq).alias("__first"))
-    known = base.select(F.col(key).alias("__name")).distinct().withColumn("__known", F.lit(True))
-    joined = entries.join(first, "__name", "left").join(known, "__name", "left")
+    # A blank name needs no look-up to be turned away, and there may be very many.
+    blank = entries.filter(_empty(F.col("__name")))
+    named = entries.filter(~_empty(F.col("__name")))
+    # One look-up for both questions, so that the join's rows are not needed by name again.
+    names = grouped(
+        stacked(
+            named.select("__name", F.col(seq).alias("__seq")),
+            base.select(F.col(key).alias("__name"), F.lit(True).alias("__known")),
+        ),
+        ["__name"],
+        F.min("__seq").alias("__first"),
+        F.max("__known").alias("__known"),
+    )
+    joined = stacked(named.join(names, "__name", "left"), blank)
     reasons = [
         (_empty(F.col("__name")), f"missing {key}"),
         (F.col("__known").isNotNull(), f"{key} already exists"),

@@ -67,9 +67,13 @@ def export_hired(
 
 
 def export_companies(
-    sales: DataFrame, pays: DataFrame, month: Month, company: str | None = None
+    sales: DataFrame,
+    pays: DataFrame,
+    month: Month,
+    company: str | None = None,
+    ordered: bool = True,
 ) -> DataFrame:
     """Every sale next to its company's payments, or one company's ledger."""
     if company is None:
-        return companies.sales_with_payments(sales, pays, month)
-    return companies.company_ledger(sales, pays, company, month, with_mode=True)
+        return companies.sales_with_payments(sales, pays, month, ordered)
+    return companies.company_ledger(sales, pays, company, month, with_mode=True, ordered=ordered)

@@ -45,9 +45,9 @@ def spendings_labelled(sp: DataFrame, veh: DataFrame, ordered: bool = True) -> D
 
 
 def company_ledger_labelled(
-    sales: DataFrame, pays: DataFrame, company: str, month: dt.date | str
+    sales: DataFrame, pays: DataFrame, company: str, month: dt.date | str, ordered: bool = True
 ) -> DataFrame:
-    rows = companies.company_ledger(sales, pays, company, month, with_mode=True)
+    rows = companies.company_ledger(sales, pays, company, month, with_mode=True, ordered=ordered)
     return rows.select(
         "date",
         F.upper("transaction_type").alias("type"),
@@ -115,7 +115,7 @@ def company_summary_labelled(sales: DataFrame, pays: DataFrame) -> DataFrame:
     )
 
 
-def advances_labelled(adv: DataFrame) -> DataFrame:
-    return newest_first(adv, "date").select(
+def advances_labelled(adv: DataFrame, ordered: bool = True) -> DataFrame:
+    return (newest_first(adv, "date") if ordered else adv).select(
         "date", "employee_name", money_text("amount").alias("amount"), labels.shown("purpose").alias("purpose")
     )

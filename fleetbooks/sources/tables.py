@@ -52,8 +52,10 @@ def load_jdbc(
     return spark.read.format("jdbc").option("dbtable", table).options(**props).load()
 
 
-def listing(df: DataFrame, table: str) -> DataFrame:
+def listing(df: DataFrame, table: str, ordered: bool = True) -> DataFrame:
     """All columns of a table in the order its page lists them."""
+    if not ordered:
+        return df
     column, newest = LISTING_ORDER[table]
     return newest_first(df, column) if newest else by_name(df, column)
 

@@ -201,7 +201,7 @@ def test_settlement_preview_and_ids(seed):
     keys = sp.sparkSession.createDataFrame([(5,), (9,), (9,), (None,)], "id long")
     assert rows(fleet.settlement_preview(sp, keys)) == [(2, 8300.0)]
     many = list(range(5000))
-    assert by_ids(sp, many).count() == 9
+    assert by_ids(sp, many).count() == 9 and by_ids(sp, many, joined=True).count() == 9
 
 
 def test_lookup_shows_blanks(spark):
