@@ -7,8 +7,8 @@ from pyspark.sql import SparkSession
 # Settings the operators count on. Most are Spark's defaults, listed so that
 # nobody turns them off: skewed joins are split at run time, small shuffle
 # partitions are merged, and a side is broadcast only when its size, estimated
-# or measured, is below the threshold. spark.checkpoint.dir is the cluster's;
-# nothing here sets or needs it, as no operator iterates.
+# or measured, is below the threshold. spark.checkpoint.dir is the cluster's and is
+# not set here; the reports do not need it, the text operators write their tables there.
 CLUSTER_CONF: dict[str, str] = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
