@@ -6,9 +6,10 @@ A corpus is cut so that equal strings come together: the smallest hash among the
 grams of ``GRAM`` bytes in a string depends on the string alone, so runs of strings
 with one such smallest hash (pieces) are dealt out by it. Equal pieces are summed up
 first: within a task before the shuffle, then over all; every copy but the earliest
-is repeated as a whole. A piece whose smallest hash no different piece shares, and whose
-smallest gram stands in it once, holds nothing repeated. What is left, a small part of the corpus, goes on as bytes: each
-piece is a shard with a transform of its own, and the shards of a bin are merged.
+is repeated as a whole. A piece whose smallest hash no different piece shares, and
+whose smallest gram stands in it once, holds nothing repeated. What is left, a part
+of the corpus, goes on as bytes: each piece is a shard with a transform of its own,
+and the shards of a bin are merged.
 
 A hash with very many different pieces (a common passage in many surroundings) is
 cut again by longer grams, which keeps surroundings apart. Texts are shuffled by
@@ -170,7 +171,7 @@ def _cut(length: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[
 
 def _told(most: int, length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by group, own hash and place: spans of later copies (kind 1), and
-    the earliest of pieces that share a group, in kind 0, or 2 if these are too many.
+    the earliest of pieces that share a group, as kind 0, or 2 if these are too many.
 
     A group waits for its end, or until it is known to be large.
     """
