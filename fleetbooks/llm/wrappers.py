@@ -44,6 +44,8 @@ _TAG = re.compile(
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# A name that begins so tells what is elsewhere on the page ("with-sidebar").
+_TELLS = {"has", "with", "no", "without", "is", "not"}
 _PART = re.compile(r"[a-z]+")
 _LONGEST_GROUP = 4
 # Pages of a host that must agree on a text before it is the host's and not theirs.
@@ -60,30 +62,36 @@ class Item:
 
 
 def _kind(name: str, attributes: str) -> str:
+    if name in CONTENT or name in ("html", "body"):
+        return name if name in CONTENT else ""
     for found in _NAMED.findall(attributes):
-        if not NOT_CONTENT.isdisjoint(_PART.findall("".join(found).lower())):
-            return "!"
-    return name if name in CONTENT or name in APART or name in DROPPED else ""
+        for own in "".join(found).lower().split():
+            parts = _PART.findall(own)
+            if parts and parts[0] not in _TELLS and not NOT_CONTENT.isdisjoint(parts):
+                return "!"
+    return name if name in APART or name in DROPPED else ""
 
 
 def stream(page: str) -> list[tuple[str, str]]:
     """Tokens of a page, slots with their text. Broken markup is read as browsers do:
     what is not closed ends with what it stands in."""
     tokens: list[tuple[str, str]] = []
-    stack: list[tuple[str, str]] = []  # element and kind
+    stack: list[tuple[str, str, int]] = []  # element, kind, and where its text begins
     text: list[str] = []
 
     def flush() -> None:
         block = " ".join("".join(text).split())
         text.clear()
         if block:
-            name = next((n for n, _ in reversed(stack) if n in BLOCKS), "text")
+            name = next((n for n, _, _ in reversed(stack) if n in BLOCKS), "text")
             tokens.append((f"#{name}", block))
 
     def pop() -> None:
-        _, kind = stack.pop()
-        if kind:
+        name, kind, start = stack.pop()
+        if kind and name in BLOCKS:
             tokens.append((f"</{kind}>", ""))
+        elif kind:  # no content in the middle of a block
+            del text[start:]
 
     at = 0
     for tag in _TAG.finditer(page):
@@ -101,7 +109,7 @@ def stream(page: str) -> list[tuple[str, str]]:
         if name in VOID:
             continue
         if closes:
-            if any(n == name for n, _ in stack):
+            if any(n == name for n, _, _ in stack):
                 while stack[-1][0] != name:
                     if stack[-1][0] in BLOCKS:
                         flush()
@@ -110,7 +118,7 @@ def stream(page: str) -> list[tuple[str, str]]:
                 pop()
             continue
         if name in CONTENT or name == "body":  # these stand in nothing that is no content
-            while stack and any(k in APART | DROPPED | {"!"} for _, k in stack):
+            while stack and any(k in APART | DROPPED | {"!"} for _, k, _ in stack):
                 pop()
         if name in SELF_ENDING or (name in BLOCKS and stack and stack[-1][0] in HEADINGS | {"p"}):
             last = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCKS), None)
@@ -118,8 +126,8 @@ def stream(page: str) -> list[tuple[str, str]]:
                 while len(stack) > last:
                     pop()
         kind = _kind(name, attributes)
-        stack.append((name, kind))
-        if kind:
+        stack.append((name, kind, len(text)))
+        if kind and name in BLOCKS:
             tokens.append((f"<{kind}>", ""))
     text.append(html.unescape(page[at:]))
     flush()

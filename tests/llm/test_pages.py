@@ -61,6 +61,16 @@ def test_broken_and_odd_pages(spark):
     assert texts(spark, []) == {}
 
 
+def test_names_of_elements(spark):
+    rows = [
+        (URL, "<body class='has-sidebar nav'><article class='with-comments'><p>a <span class=share>Share</span> b</p></article>"),
+        ("https://c.example.org", "<div class='page with-sidebar'><p>kept</p><div class='left-sidebar'>no</div><p>too</p></div>"),
+        ("https://d.example.org", "<div role='navigation'>no</div><p>x <a class='ad-link' href=#>ad</a>y</p><p id='cookie-notice'>no</p>"),
+        ("https://e.example.org", "<nav>only a menu</nav><div class=ad>advert</div>"),
+    ]
+    assert texts(spark, rows) == {0: "a b", 1: "kept\ntoo", 2: "x y", 3: ""}
+
+
 def test_copies_and_long_pages(spark):
     long_ = "".join(f"<p>Paragraph {k} of it.</p>" for k in range(3000))
     found = texts(spark, [(URL, page(long_)), (URL, page(long_)), (URL, page("<p>a</p>"))])
