@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import sys
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Every character that Python's str.strip() removes, from the rule itself, and
-# the ASCII ones among them.
-WHITESPACE = "".join(chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace())
-ASCII_WHITESPACE = "".join(c for c in WHITESPACE if c.isascii())
+# Every character that Python's str.strip() removes, ASCII ones first.
+ASCII_WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
+WHITESPACE = ASCII_WHITESPACE + (
+    "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Fixed values of the entry forms.
 CATEGORY_DIESEL = "diesel"

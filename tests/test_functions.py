@@ -133,3 +133,11 @@ def test_parsing_takes_what_strptime_takes(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v string")
     got = df.select(dates.parse_day(F.col("v")), dates.parse_month(F.col("v"))).collect()
     assert [tuple(r) for r in got] == [(_strptime(v, "%Y-%m-%d"), _strptime(v, "%Y-%m")) for v in values]
+
+
+def test_white_space_is_what_strip_removes():
+    import sys
+
+    every = {c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()}
+    assert set(text.WHITESPACE) == every
+    assert set(text.ASCII_WHITESPACE) == {c for c in every if c.isascii()}
