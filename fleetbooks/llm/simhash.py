@@ -6,9 +6,11 @@ less, and two words that near have a codeword within 4 bits in common. So the
 keys of a fingerprint are, for each two segments, the numbers of such codewords
 of both (84 keys in the mean); what shares a key is compared bit by bit.
 
-Equal fingerprints are one node from the start. A key with many fingerprints is
-dealt out as pairs of blocks of at most about ``BLOCK`` of them. Within a key only
-a tree of links leaves the task, not all pairs.
+Equal fingerprints are one node from the start. A key with more than ``BLOCK``
+fingerprints is cut finer: by a codeword of the third segment, if that differs in 2
+bits or less, and else by the value of one of the other two, which then do not both
+differ. What is still large is dealt out as pairs of blocks of about ``BLOCK``. Within
+a key only a tree of links leaves the task, not all pairs.
 """
 
 from __future__ import annotations
@@ -21,12 +23,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetbooks.llm.common import buffers, chunks, text_or_empty, written
+from fleetbooks.llm.common import buffers, chunks, mixed, text_or_empty, written
 from fleetbooks.llm.components import components
 from fleetbooks.llm.golay import Golay
 
 SEED = 42
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # lowest bit and width
+PAIRS = ((0, 1), (0, 2), (1, 2))
 BLOCK = 1000
 MOST_BITS = 4
 
@@ -69,18 +72,19 @@ def fingerprints(rows: DataFrame, id: str = "doc_id", text: str = "text", shingl
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, print long")
 
 
+def _segments(prints: np.ndarray) -> list[np.ndarray]:
+    bits = prints.view(np.uint64)
+    return [((bits >> np.uint64(k)) & np.uint64((1 << width) - 1)).astype(np.int64) for k, width in SEGMENTS]
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     golay = Golay()
     for batch in batches:
         for low in range(0, batch.num_rows, 2000):
             prints = np.asarray(batch.column("print")[low : low + 2000])
-            bits = prints.view(np.uint64)
-            near = []
-            for first, width in SEGMENTS:
-                word = (bits >> np.uint64(first)) & np.uint64((1 << width) - 1)
-                near.append(golay.near(word.astype(np.int64)))
+            near = [golay.near(word) for word in _segments(prints)]
             made = []
-            for kind, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
+            for kind, (a, b) in enumerate(PAIRS):
                 left, right = near[a][:, :, None], near[b][:, None, :]
                 key = (kind << 24 | left << 12 | right)
                 row, i, j = np.nonzero((left >= 0) & (right >= 0))
@@ -89,6 +93,23 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own)], ["key", "print"])
 
 
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of large keys under keys that say more."""
+    golay = Golay()
+    for batch in batches:
+        key, prints = (np.asarray(batch.column(c)) for c in ("key", "print"))
+        words = np.stack(_segments(prints))
+        each = np.arange(len(key))
+        one, other = np.array(PAIRS)[key >> 24].T
+        near = golay.near(words[3 - one - other, each])
+        row, place = np.nonzero(near >= 0)
+        more = [(row, 0, near[row, place]), (each, 1, words[one, each]), (each, 2, words[other, each])]
+        made = [(mixed(key[r].astype(np.uint64) << np.uint64(2) | np.uint64(k)) ^ v.astype(np.uint64), r) for r, k, v in more]
+        finer = mixed(np.concatenate([x for x, _ in made])).view(np.int64)
+        own = prints[np.concatenate([r for _, r in made])]
+        yield pa.RecordBatch.from_arrays([pa.array(finer), pa.array(own)], ["key", "print"])
+
+
 def _tree(key: np.ndarray, prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what is joined by pairs with one key and few different bits."""
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -134,11 +155,15 @@ def _links(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield done(len(key))
 
 
+def _large(keys: DataFrame, block: int) -> DataFrame:
+    """Keys with more than ``block`` fingerprints, and how many blocks that makes."""
+    counts = keys.groupBy("key").count().filter(F.col("count") > block)
+    return written(counts.select("key", F.ceil(F.col("count") / block).alias("n")), "large-keys")
+
+
 def _blocks(keys: DataFrame, block: int) -> DataFrame:
     """``keys`` with every large key in pairs of blocks, each under a key of its own."""
-    large = keys.groupBy("key").count().filter(F.col("count") > block)
-    large = written(large.select("key", F.ceil(F.col("count") / block).alias("n")), "large-keys")
-    parted = keys.join(large, "key", "left")
+    parted = keys.join(_large(keys, block), "key", "left")
     own = F.pmod(F.xxhash64("print"), F.col("n"))
     other = F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n") - 1)))
     parted = parted.select("key", "n", "print", own.alias("own"), other.alias("other"))
@@ -155,7 +180,12 @@ def links(prints: DataFrame, bits: int = MOST_BITS, block: int = BLOCK) -> DataF
     # A small table with many keys to come: more tasks than its files have blocks.
     different = different.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = different.mapInArrow(_keys, "key long, print long")
-    parted = _blocks(keys, block).repartition("key").sortWithinPartitions("key")
+    large = _large(keys, block).select("key")
+    parted = keys.join(large, "key", "left_anti")
+    if not large.isEmpty():
+        finer = keys.join(large, "key", "left_semi").mapInArrow(_finer, "key long, print long")
+        parted = parted.unionByName(_blocks(written(finer, "finer-keys"), block))
+    parted = parted.repartition("key").sortWithinPartitions("key")
     return parted.mapInArrow(lambda b: _links(bits, b), "a long, b long")
 
 
