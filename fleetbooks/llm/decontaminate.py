@@ -5,9 +5,8 @@ window). Each batch of documents is a shard with its own FM-index over word
 numbers: all windows are searched backwards through wavelet ranks, their
 occurrences located by sampled positions, and overlapping spans merged.
 
-Only stretches in which every few words in a row also stand so in a test item
-can hold a window; the index is built over these, whole. Documents are never
-shuffled. The test set is cut into blocks of bounded size (``block_bytes``); each
+A word that no test item has ends a stretch; the index is over all stretches that
+are long enough for a window. Documents are never shuffled. The test set is cut into blocks of bounded size (``block_bytes``); each
 block is broadcast and meets all documents.
 """
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetbooks.llm.common import blob_bytes, buffers, chunks, lists, lowered, mixed, ragged, text_or_empty, written
+from fleetbooks.llm.common import blob_bytes, buffers, chunks, lists, lowered, ragged, text_or_empty, written
 from fleetbooks.llm.fm_index import FMIndex
 from fleetbooks.llm.words import Hasher, word_places
 
@@ -43,15 +42,6 @@ def hashed_words(column: pa.Array, hasher: Hasher) -> Iterator[tuple[int, np.nda
         yield low, counts, hasher.of(hasher.sums(part), begin, end), begin - here[row], end - here[row]
 
 
-def _grams(ids: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each ``size`` numbers in a row."""
-    n = max(0, len(ids) - size + 1)
-    key = np.zeros(n, np.uint64)
-    for k in range(size):
-        key = mixed(key + ids[k : n + k].astype(np.uint64) + np.uint64(1))
-    return key
-
-
 def _within(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
     return at, sorted_[at] == x
@@ -72,9 +62,6 @@ def phrases(ids: list[str], texts: list[str], window: int) -> dict | None:
     vocabulary = np.unique(unique[unique > 0])
     numbers = np.where(unique > 0, np.searchsorted(vocabulary, unique) + 1, 0)
     lengths = (numbers > 0).sum(axis=1)
-    shortest = int(lengths.min())
-    size = min(4, shortest)
-    grams = [_grams(row[row > 0], size) for row in numbers]
     names = sorted({i for i in item if i is not None})
     place = {name: k for k, name in enumerate(names)}
     pairs = sorted({(int(w), place[i]) for w, i in zip(of.ravel(), item) if i is not None})
@@ -82,35 +69,22 @@ def phrases(ids: list[str], texts: list[str], window: int) -> dict | None:
         "vocabulary": vocabulary,
         "numbers": numbers,
         "lengths": lengths,
-        "size": size,
-        "run": shortest - size + 1,
-        "grams": np.unique(np.concatenate(grams)),
+        "shortest": int(lengths.min()),
         "names": names,
         "pair_window": np.array([p[0] for p in pairs], np.int64),
         "pair_item": np.array([p[1] for p in pairs], np.int64),
     }
 
 
-def _stretches(words: np.ndarray, row: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and end of stretches of words that may hold a window."""
-    size, n = p["size"], len(words) - p["size"] + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    good = row[:n] == row[size - 1 :]
-    for k in range(size):
-        good &= words[k : n + k] > 0
-    spots = np.flatnonzero(good)
-    key = np.zeros(len(spots), np.uint64)
-    for k in range(size):
-        key = mixed(key + words[spots + k].astype(np.uint64) + np.uint64(1))
-    spots = spots[_within(p["grams"], key)[1]]
+def _stretches(words: np.ndarray, row: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of stretches of known words that are long enough for a window."""
+    spots = np.flatnonzero(words)
     if not len(spots):
         return spots, spots
-    new = np.append(True, (np.diff(spots) != 1) | (row[spots[1:]] != row[spots[:-1]]))
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(np.append(True, (np.diff(spots) != 1) | (row[spots[1:]] != row[spots[:-1]])))
     runs = np.diff(np.append(first, len(spots)))
-    long_ = runs >= p["run"]
-    return spots[first[long_]], spots[first[long_]] + runs[long_] + size - 1
+    begin = spots[first[runs >= shortest]]
+    return begin, begin + runs[runs >= shortest]
 
 
 # What a shard says of each document.
@@ -138,7 +112,7 @@ class Shard:
         at, known = _within(self.p["vocabulary"], hashes)
         words = np.where(known, at + 1, 0)
         row = np.repeat(np.arange(len(counts)), counts)
-        for a, b in zip(*_stretches(words, row, self.p)):
+        for a, b in zip(*_stretches(words, row, self.p["shortest"])):
             number = np.arange(a, b) - (np.cumsum(counts) - counts)[row[a]]
             self.parts.append((words[a:b].copy(), row[a:b] + low, number, begin[a:b].copy(), end[a:b].copy()))
 
