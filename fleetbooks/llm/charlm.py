@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,32 +22,59 @@ _CLASS[128:] = 27 + np.arange(128) % 5
 BACKOFF = 4.0
 
 
+# Different words that a task holds before it passes their counts on.
+HELD = 100_000
+
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of all texts of a task, summed up."""
+    seen: Counter[str] = Counter()
+
+    def done() -> pa.RecordBatch:
+        made = [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())]
+        seen.clear()
+        return pa.RecordBatch.from_arrays(made, ["word", "n"])
+
+    for batch in batches:
+        for text in batch.column("text"):
+            seen.update(_WORD.findall(text.as_py().lower()))
+            if len(seen) > HELD:
+                yield done()
+    yield done()
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(CLASSES**4, np.int64)
+    """Four classes in a row in words that end with a gap, as often as the words occur."""
+    counts = np.zeros(CLASSES**4)
     for batch in batches:
-        data, starts = buffers(batch.column("text"))
+        data, starts = buffers(batch.column("word"))
+        times = batch.column("n").to_numpy()
         for low, high in chunks(starts):
             now = _CLASS[data[starts[low] : starts[high]]]
-            if not len(now):
-                continue
-            edges = starts[low:high] - starts[low]
-            edges = edges[edges < len(now)]
             back = [now]
-            for _ in range(3):  # nothing is seen across a gap or the start of a text
+            for _ in range(3):  # nothing is seen across the start of a word
                 far = np.roll(back[-1], 1)
-                far[edges] = 0
+                far[starts[low:high] - starts[low]] = 0
                 back.append(np.where(back[-1] == 0, 0, far) if len(back) > 1 else far)
             key = ((back[3] * CLASSES + back[2]) * CLASSES + back[1]) * CLASSES + now
-            key = key[(now > 0) | (back[1] > 0)]
-            counts += np.bincount(key, minlength=CLASSES**4)
+            weight = np.repeat(times[low:high], np.diff(starts[low : high + 1]))
+            counts += np.bincount(key, weights=weight, minlength=CLASSES**4)
     spot = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(spot, pa.int32()), pa.array(counts[spot])], ["key", "n"])
+    made = [pa.array(spot, pa.int32()), pa.array(counts[spot].astype(np.int64))]
+    yield pa.RecordBatch.from_arrays(made, ["key", "n"])
 
 
 def count(rows: DataFrame, text: str = "text") -> np.ndarray:
-    """How often each four classes in a row occur in all texts; a table of fixed size."""
-    rows = rows.select(text_or_empty(text).alias("text")).mapInArrow(_counted, "key int, n long")
-    found = rows.groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    """How often each four classes in a row occur in the words of all texts.
+
+    The words of the corpus are counted first, then what they consist of: only
+    different words are taken apart, and the table that leaves Spark has a fixed size.
+    """
+    words = rows.select(text_or_empty(text).alias("text")).mapInArrow(_words, "word string, n long")
+    words = words.groupBy(F.concat("word", F.lit(" ")).alias("word")).agg(F.sum("n").alias("n"))
+    found = words.mapInArrow(_counted, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(CLASSES**4)
     counts[found["key"]] = found["n"]
     return counts.reshape((CLASSES,) * 4)
