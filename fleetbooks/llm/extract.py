@@ -68,22 +68,26 @@ def infer(pages: DataFrame) -> DataFrame:
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    loaded: dict[str, list[w.Item]] = {}
+    loaded: dict[str, tuple[list[w.Item], set]] = {}
     layouts: dict[tuple, list[bool]] = {}
     for batch in batches:
         pages, told = batch.column("html"), batch.column("wrapper").to_pylist()
         texts = []
         for k, wrapper in enumerate(told):
             page = w.squashed(w.stream(pages[k].as_py()))
-            layout = (wrapper, tuple(item.token for item, _ in page))
+            if wrapper not in loaded:
+                if len(loaded) > REMEMBERED:
+                    loaded.clear()
+                items = w.loaded(wrapper or "[]")
+                loaded[wrapper] = items, {x.text for x in items if w.hosts_own(x)}
+            items, own = loaded[wrapper]
+            # Of the texts, only those that are the host's own tell what is kept.
+            layout = (wrapper, tuple((x.token, x.text if x.text in own else None) for x, _ in page))
             keep = layouts.get(layout)
             if keep is None:
                 if len(layouts) > REMEMBERED:
                     layouts.clear()
-                    loaded.clear()
-                if wrapper not in loaded:
-                    loaded[wrapper] = w.loaded(wrapper or "[]")
-                keep = layouts[layout] = w.kept(loaded[wrapper], page)
+                keep = layouts[layout] = w.kept(items, page)
             texts.append(w.main_text(page, keep))
         keys = [c for c in batch.schema.names if c not in ("html", "wrapper")]
         made = [*(batch.column(c) for c in keys), pa.array(texts, pa.string())]
@@ -95,8 +99,9 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
 
     A null or empty page has an empty text. Pages without a host (a null or other
     address) share one wrapper. Every row gives one row, copies too; columns besides
-    these three take no part. A slot whose text is the same on all pages of a host,
-    three at least, is the host's and no main text, if other slots differ.
+    these three take no part. A slot outside of ``article`` and ``main`` whose text is the
+    same on all pages of a host, three at least, is the host's and no main text, if other
+    slots differ.
     """
     rows = pages.select(
         F.col(id).alias("id"), F.col(url).alias("url"), host(F.col(url)).alias("host"), text_or_empty(html).alias("html")

@@ -206,6 +206,12 @@ def _regions(tokens: list[str]) -> list[tuple[bool, bool]]:
     return found
 
 
+def hosts_own(item: Item) -> bool:
+    """Whether a slot has one text on all pages of a host. A slot that is not optional
+    was met on each of them."""
+    return item.text is not None and not item.optional and item.pages >= FIXED
+
+
 def kept(wrapper: list[Item], page: list[tuple[Item, list[tuple[int, str]]]]) -> list[bool]:
     """Which items of a page hold main text, by the slots of the wrapper they fall in."""
     of_wrapper, of_page = _regions([x.token for x in wrapper]), _regions([x.token for x, _ in page])
@@ -219,9 +225,9 @@ def kept(wrapper: list[Item], page: list[tuple[Item, list[tuple[int, str]]]]) ->
     for k, (content, bad) in enumerate(of_page):
         fixed = False
         if slot[k] is not None:
-            item = wrapper[slot[k]]
-            bad = bad or of_wrapper[slot[k]][1] and not content
-            fixed = open_ and item.text is not None and item.pages >= FIXED and item.pages > 1
+            item, (inside, outside) = wrapper[slot[k]], of_wrapper[slot[k]]
+            bad = bad or outside and not content
+            fixed = open_ and not (content or inside) and hosts_own(item) and item.text == page[k][0].text
         found.append(not bad and (content or not article) and not fixed)
     return found
 

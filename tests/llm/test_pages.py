@@ -84,6 +84,20 @@ def test_fixed_text_of_a_host_goes(spark):
     assert found == {k: f"Story {k}\nText {k}\nand {k}" for k in range(5)}
 
 
+def test_fixed_text_inside_an_article_stays(spark):
+    body = "<h1>Story {0}</h1><p>Text {0}</p><h2>Background</h2><blockquote>The same words</blockquote><p>End {0}</p>"
+    found = texts(spark, [(URL, page(body.format(k))) for k in range(5)])
+    assert found == {k: f"Story {k}\nText {k}\nBackground\nThe same words\nEnd {k}" for k in range(5)}
+
+
+@pytest.mark.parametrize("copies", [1, 2, 3, 4])
+def test_copies_of_a_page_with_a_layout_of_its_own(spark, copies):
+    rows = [(URL, f"<body><h2>Story {k}</h2><p>Text {k}</p><p>and {k}</p></body>") for k in range(6)]
+    rows += [(URL, "<body><h2>Own</h2><p>One</p><blockquote>Only here</blockquote><p>Two</p></body>")] * copies
+    found = texts(spark, rows)
+    assert {found[6 + k] for k in range(copies)} == {"Own\nOne\nOnly here\nTwo"}
+
+
 def test_wrapper_has_optional_and_repeated():
     pages = [
         "<article><h1>a</h1><p>b</p></article>",
