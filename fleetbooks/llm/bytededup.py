@@ -340,7 +340,9 @@ def without_repeats(
     seen = rows.agg(F.count("id").alias("n"), F.countDistinct("id").alias("d")).first()
     single = F.lit(0).cast("long") if seen["n"] == seen["d"] else F.xxhash64("bytes")
     rows = rows.withColumn("print", single).select("id", "print", "bytes")
-    lost = repeated(rows, length, pieces).groupBy("id", "print")
+    # A row that came twice is one document, not a copy of itself.
+    once = rows if seen["n"] == seen["d"] else rows.dropDuplicates(["id", "print"])
+    lost = repeated(once, length, pieces).groupBy("id", "print")
     lost = lost.agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     none = F.array().cast("array<long>")
     found = rows.join(lost, ["id", "print"], "left")

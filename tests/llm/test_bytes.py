@@ -95,6 +95,20 @@ def test_odd_rows(frame):
     assert by[4] == [(60, 60 - 0)] or by[4][0][0] == 60
 
 
+@pytest.mark.parametrize("pieces", [1, 4000])
+def test_repeated_rows_with_pieces_of_their_own(frame, pieces):
+    draw = random.Random(7)
+    shared = "".join(draw.choice("abcdefgh") for _ in range(60))
+    docs = [(k, shared + "".join(draw.choice("abcdefgh") for _ in range(30))) for k in range(1, 5)]
+    docs += [(5, "z" * 200), (6, "ab" * 60 + shared)]
+    want = {id: len(gone) for (id, _), (_, gone) in zip(docs, brute(docs, 50))}
+    for times in (1, 2, 3):
+        found = bytededup.without_repeats(frame(docs * times), length=50, pieces=pieces).collect()
+        assert len(found) == times * len(docs)
+        assert {(r["doc_id"], r["n_removed"]) for r in found} == set(want.items())
+    assert want[1] == 0 and want[5] == 199
+
+
 def test_overlap_in_one_text(frame):
     row = bytededup.without_repeats(frame([(1, "ab" * 60)]), length=20).first()
     data, gone = brute([(1, "ab" * 60)], 20)[0]
