@@ -12,8 +12,10 @@ of the corpus, goes on as bytes: each piece is a shard with a transform of its o
 and the shards of a bin are merged.
 
 A hash with very many different pieces (a common passage in many surroundings) is
-cut again by longer grams, which keeps surroundings apart. Texts are shuffled by
-document to be cut; order is by id and place, as text goes.
+cut again by longer grams, which keeps surroundings apart, and if these are still too
+many, string by string: equal strings are then summed up as equal pieces are, and no
+group holds more than ``PIECES`` different pieces. Texts are shuffled by document to be
+cut; order is by id and place, as text goes.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from fleetbooks.llm.common import buffers, chunks, lists, ragged, text_or_empty,
 from fleetbooks.llm.words import Hasher
 
 LENGTH = 100
-GRAMS = (40, 92)  # part of LENGTH, in percent of it
+GRAMS = (40, 92, 100)  # part of LENGTH, in percent of it; the last is a whole string
 PIECES = 30_000  # different pieces under one hash before it is cut again
 BIN = 500_000  # bytes that are merged together
 HELD = 500_000  # pieces that a task sums up at once
@@ -73,7 +75,8 @@ class Cutter:
         np.add.at(whole, starts[1:][long_] - self.length + 1, -1)
         whole = np.cumsum(whole[:-1]) > 0
         new = np.ones(len(low), bool)
-        new[1:] = low[1:] != low[:-1]
+        if width > 1:  # whole strings are pieces of their own, so that equal ones are summed up
+            new[1:] = low[1:] != low[:-1]
         edges = starts[:-1][starts[:-1] < len(low)]
         new[edges] = True
         begin = np.flatnonzero(new & whole)
@@ -93,7 +96,8 @@ class Cutter:
         q, text = q[one], text[one]
         inside = np.clip(q - width + 1, starts[text], starts[text + 1] - self.length)
         inner = np.zeros(len(begin), bool)
-        inner[np.searchsorted(begin, inside, "right") - 1] = True
+        if width > 1:
+            inner[np.searchsorted(begin, inside, "right") - 1] = True
         return row, begin - starts[row], end - begin, low[begin].view(np.int64), own.view(np.int64), inner
 
 
@@ -305,8 +309,8 @@ def repeated(docs: DataFrame, length: int, pieces: int = PIECES) -> DataFrame:
     texts = docs.withColumn("at", F.lit(0).cast("long"))
     spans, cold = None, None
     for share in GRAMS:
-        most = pieces if share != GRAMS[-1] else 1 << 62
         gram = max(1, length * share // 100)
+        most = pieces if gram < length else 1 << 62  # a whole string is the only one in its group
         cut = texts.mapInArrow(lambda b, gram=gram: _cut(length, gram, b), FOUND)
         cut = cut.repartition("group").sortWithinPartitions("group", "own", "id", "print", "a")
         found = written(cut.mapInArrow(lambda b, most=most: _told(most, length, b), FOUND), "pieces")
@@ -316,7 +320,7 @@ def repeated(docs: DataFrame, length: int, pieces: int = PIECES) -> DataFrame:
         few = few.withColumn("gram", F.lit(gram))
         spans = own if spans is None else spans.unionByName(own)
         cold = few if cold is None else cold.unionByName(few)
-        if found.filter("kind = 2").isEmpty():
+        if gram == length or found.filter("kind = 2").isEmpty():
             break
         texts = _wanted(docs, found, 2, length).select("id", "print", "at", F.col("bytes").alias("bytes"))
     merged = cold.groupBy("gram", "bin").applyInArrow(lambda t: _merged(length, t), SPAN)

@@ -109,6 +109,24 @@ def test_repeated_rows_with_pieces_of_their_own(frame, pieces):
     assert want[1] == 0 and want[5] == 199
 
 
+def test_no_group_is_large(frame, monkeypatch):
+    draw = random.Random(8)
+    passage = "".join(draw.choice("abcdefgh") for _ in range(75))
+    docs = [(k, passage + "".join(draw.choice("abcdefgh") for _ in range(30))) for k in range(200)]
+    docs += [(1000 + k, docs[k][1][10:] + "z" * 60) for k in range(20)]
+    tables = []
+
+    def kept(df, name, written=bytededup.written):
+        tables.append(written(df, name))
+        return tables[-1]
+
+    monkeypatch.setattr(bytededup, "written", kept)
+    found = bytededup.without_repeats(frame(docs), length=60, pieces=20).collect()
+    largest = [t.filter("kind = 0").groupBy("group").count().agg({"count": "max"}).first()[0] or 0 for t in tables]
+    assert len(largest) == 3 and max(largest) <= 20
+    assert {r["doc_id"]: r["n_removed"] for r in found} == {id: len(gone) for (id, _), (_, gone) in zip(docs, brute(docs, 60))}
+
+
 def test_overlap_in_one_text(frame):
     row = bytededup.without_repeats(frame([(1, "ab" * 60)]), length=20).first()
     data, gone = brute([(1, "ab" * 60)], 20)[0]
