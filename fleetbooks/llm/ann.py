@@ -8,7 +8,8 @@ test on the distance so far drops candidates that are too far with near certaint
 and only the rest go on. What remains is measured on the original vectors.
 
 A list is dealt out in parts of about ``PART`` vectors and ``QUERIES`` queries, so that
-no task holds a whole list; each part gives at most ``k`` rows for a query.
+no task holds a whole list; each part gives at most ``k`` ids for a query, each with its
+nearest row. Rows equal in id and vector are made one before they are put in lists.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetbooks.llm.common import written
+
 SAMPLE = 20_000
 RECALL = 0.98
 LISTS = 1024
@@ -99,11 +102,26 @@ def _routed(models: dict, probing: bool, batches: Iterator[pa.RecordBatch]) -> I
                 yield pa.RecordBatch.from_arrays([*part.columns, *where], ["id", "v", "d", "list"])
 
 
-def scan(queries: np.ndarray, rows: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of query and row that may be among the ``k`` nearest, by partial distances."""
+def _best(a: np.ndarray, id: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Of pairs of query and row the nearest for each query and id, by query and distance."""
+    order = np.lexsort((far, id, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order[1:]] != a[order[:-1]]) | (id[order[1:]] != id[order[:-1]])
+    order = order[new]
+    return order[np.lexsort((id[order], far[order], a[order]))]
+
+
+def scan(
+    queries: np.ndarray, rows: np.ndarray, turn: np.ndarray, k: int, ids: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of query and row that may be among the ``k`` nearest, by partial distances.
+    Rows with one of ``ids`` take one of the ``k`` places together."""
     d = rows.shape[1]
     q, x = queries @ turn, rows @ turn
     best = np.full((len(q), k), np.inf)
+    # The ids that hold the places; only needed where one may come again.
+    several = ids is not None and len(np.unique(ids)) < len(ids)
+    holds = np.zeros((len(q), k), np.int64)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for low in range(0, len(x), 512):
         block = x[low : low + 512]
@@ -117,6 +135,15 @@ def scan(queries: np.ndarray, rows: np.ndarray, turn: np.ndarray, k: int) -> tup
             stay = so_far <= _bound(limit, min(col + COLUMNS, d), d)[a]
             a, b, so_far = a[stay], b[stay], so_far[stay]
         found.append((a, b + low))
+        if several:
+            old, place = np.nonzero(best < np.inf)
+            a = np.concatenate([old, a])
+            near, far = np.concatenate([holds[old, place], ids[b + low]]), np.concatenate([best[old, place], so_far])
+            top = _best(a, near, far)
+            rank = np.arange(len(top)) - np.searchsorted(a[top], a[top])
+            top, rank = top[rank < k], rank[rank < k]
+            best[a[top], rank], holds[a[top], rank] = far[top], near[top]
+            continue
         # The k smallest so far of each query, the new ones put behind the old.
         order = np.lexsort((so_far, a))
         rank = np.arange(len(a)) - np.searchsorted(a[order], a[order])
@@ -143,16 +170,15 @@ def _searched(models: dict, k: int, left: pa.Table, right: pa.Table) -> pa.Table
     d = left.column("d")[0].as_py()
     x, q = _matrix(left.column("v"), d), _matrix(right.column("v"), d)
     ids, asked = (t.column("id").to_numpy() for t in (left, right))
-    # One more than k, as a query meets itself in its own list.
-    own = int(np.unique(ids, return_counts=True)[1].max())
-    a, b = scan(q, x, models[d]["turn"], k + own)
+    # One id more than k, as a query meets itself in its own list.
+    a, b = scan(q, x, models[d]["turn"], k + 1, ids)
     other = asked[a] != ids[b]
     a, b = a[other], b[other]
     score = np.zeros(len(a))
     for low in range(0, len(a), 100_000):
         step = q[a[low : low + 100_000]] - x[b[low : low + 100_000]]
         score[low : low + 100_000] = np.sqrt((step * step).sum(axis=1))
-    order = np.lexsort((ids[b], score, a))
+    order = _best(a, ids[b], score)
     a, b, score = a[order], b[order], score[order]
     top = np.arange(len(a)) - np.searchsorted(a, a) < k
     return pa.table([asked[a[top]], ids[b[top]], score[top]], schema=kind)
@@ -192,6 +218,9 @@ def nearest(
     """
     pick = [F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")]
     rows, queries = (df.filter(F.col(id).isNotNull() & usable(vector)).select(*pick) for df in (rows, queries))
+    seen = rows.agg(F.count("id").alias("n"), F.countDistinct("id").alias("d")).first()
+    if seen["n"] != seen["d"]:  # copies of a row tell nothing new
+        rows = written(rows.dropDuplicates(["id", "v"]), "vectors")
     models = fit(rows, k, sample, recall)
     shared = rows.sparkSession.sparkContext.broadcast(models)
     queries = queries.filter(F.size("v").isin(list(models)))

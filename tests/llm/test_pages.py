@@ -181,6 +181,31 @@ def test_vectors_that_take_no_part(spark):
     assert nearest(spark, [(1, [1.0])]) == {} and nearest(spark, []) == {} and nearest(spark, [(0, [1.0])]) == {}
 
 
+@pytest.mark.parametrize("times", [2, 3])
+def test_repeated_rows_take_one_place(spark, times):
+    rows = [(i * 20, v.tolist()) for i, v in enumerate(vectors(35, 24, 5, hot=0))]
+    assert nearest(spark, rows * times) == nearest(spark, rows)
+    found, want = nearest(spark, rows * times), brute(rows)
+    assert {q: [i for i, _ in own] for q, own in found.items()} == {q: [i for i, _ in own] for q, own in want.items()}
+
+
+def test_one_id_with_many_near_vectors(spark):
+    # Fifteen different vectors of one id lie nearer than all others.
+    rows = [(0, [1.0, 0.0]), *((7, [1.0, 0.01 * (k + 1)]) for k in range(15)), *((20 + k, [2.0 + k, 0.0]) for k in range(12))]
+    found = nearest(spark, rows)
+    assert [i for i, _ in found[0]] == [7, *range(20, 29)]
+    assert found[0][0] == (7, pytest.approx(0.01))
+
+
+def test_scan_counts_ids():
+    x = vectors(600, 32, 6, hot=0).astype(np.float64)
+    ids = np.concatenate([np.arange(100), np.full(500, 100)])
+    x[100:] = x[0] + 0.001 * x[100:]
+    a, b = ann.scan(x[:1], x, np.eye(32), 11, ids)
+    near = sorted(range(100), key=lambda j: ((x[j] - x[0]) ** 2).sum())[:10]
+    assert set(near) | {100} <= set(ids[b].tolist())
+
+
 def test_scan_drops_only_far_ones():
     x = vectors(2000, 64, 3, hot=0).astype(np.float64)
     turn = np.linalg.qr(np.random.default_rng(4).normal(size=(64, 64)))[0]
