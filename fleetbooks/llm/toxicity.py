@@ -41,13 +41,10 @@ HIDDEN = "*#"  # may hide any letter between two others
 
 _SIGNS = re.escape("".join(LEET) + HIDDEN)
 _APART = re.compile(r"(?<![^\W_])(?:[^\W_](?: |[.\-_*~ ]{1,3})){3,}[^\W_](?![^\W_])")
-# Two letters on their own with a space between; without, there is nothing set apart
-# that is not one token.
-_SINGLES = re.compile(r"(?:^|[ \n.\-_*~])[^\W_][.\-_*~ ]{0,2} [.\-_*~ ]{0,2}[^\W_](?![^\W_])")
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGE = re.compile(r"^[^\w$@!|+(<{€£]+|[^\w$@€£]+$|([$@€£])\1\1[^\w]*$")
 _SIGN = re.compile(f"[{_SIGNS}]")
-_DOTTED = re.compile(r"[^\W_](?:[.\-_*~][^\W_]){3,}")
+_DOTTED = re.compile(r"[^\W_](?:[.\-_*~]{1,3}[^\W_]){3,}")
 _RUN = re.compile(r"(\w)\1+|.", re.S)
 _LONG_RUN = re.compile(r"([^\W\d_])\1\1")
 
@@ -112,18 +109,20 @@ class Reader:
             places.append([(part[0], 0.0), *signs] if len(part[0]) == 1 and part[0].isalnum() else [("", 0.4), (" ", 1.0)])
         return charlm.read(places, self.cost)
 
-    def set_apart(self, text: str) -> Iterator[tuple[str, list[str]]]:
-        """Runs of single letters in a lower-case text, and the words they are read as."""
-        if _SINGLES.search(text):
-            for run in _APART.finditer(text):
+    def set_apart(self, text: str, tokens: set[str]) -> Iterator[tuple[str, list[str]]]:
+        """Runs of single letters in a lower-case text, and the words they are read as.
+        Runs that are one of its tokens are read there."""
+        for run in _APART.finditer(text):
+            if run[0] not in tokens:
                 yield run[0], _WORD.findall(self.apart(run[0]))
 
     def words(self, text: str) -> Iterator[str]:
         """Words of a text as restored; each different token counts once."""
         text = text.lower()
-        for token in set(text.split()):
+        tokens = set(text.split())
+        for token in tokens:
             yield from self.token(token)[0]
-        for _, words in self.set_apart(text):
+        for _, words in self.set_apart(text, tokens):
             yield from words
 
 
@@ -178,13 +177,14 @@ class Scorer:
             self.known.clear()
         found: set[int] = set()
         known, text = self.known, text.lower()
-        for token in set(text.split()):
+        tokens = set(text.split())
+        for token in tokens:
             own = known.get(token)
             if own is None:
                 own = self.token(token, restored)
             if own:
                 found.update(own)
-        for run, words in self.reader.set_apart(text):
+        for run, words in self.reader.set_apart(text, tokens):
             restored.append((run, " ".join(words)))
             found.update(k for w in words for k in self.word(w))
         return sorted(found)

@@ -147,6 +147,16 @@ def test_toxicity_reads_disguise(frame, toxic):
     assert found[3]["restored"] == ["i d i o t > idiot"]
 
 
+SET_APART = ["i--d--i--o--t", "i..d..i..o..t", "s**c**u**m", "l-._o-._s-._e-._r", "(i--d--i--o--t)", "x/s..c..u..m"]
+
+
+def test_toxicity_reads_letters_set_apart_without_spaces(frame, toxic):
+    docs = [(k, f"the house and {word} of the river") for k, word in enumerate(SET_APART)]
+    found = {r["doc_id"]: r for r in toxicity.score(frame(docs), toxic).collect()}
+    assert [SET_APART[k] for k, r in found.items() if not r["predicted"]] == []
+    assert found[0]["restored"] == ["i--d--i--o--t > idiot"]
+
+
 def test_toxicity_leaves_the_rest(frame, toxic):
     docs = [(1, None), (2, ""), (3, "the dog walks to the tree"), (4, "call 555 0199 or a b c"), (5, "x" * 50_000)]
     docs += [(6, "in 2024 a price of $15!! and 3rd"), (6, "in 2024 a price of $15!! and 3rd")]
