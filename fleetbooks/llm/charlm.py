@@ -93,10 +93,17 @@ def classes(text: str) -> list[int]:
     return _CLASS[np.frombuffer(text.encode(), np.uint8)].tolist()
 
 
-def read(lattice: list[list[tuple[str, float]]], cost: np.ndarray, beam: int = 64) -> str:
+# States up to which a step goes one by one; beyond, all states are arrays.
+WIDE = 1_000
+# Places whose steps are remembered together; of others only the costs before each so many.
+BLOCK = 256
+
+
+def read(lattice: list[list[tuple[str, float]]], cost: np.ndarray, beam: int | None = None) -> str:
     """The most likely text through a lattice (Viterbi): each place has readings,
     a string and what the channel takes for it. States are the last three classes;
-    a gap forgets what was before it. Equal costs go to the first reading."""
+    a gap forgets what was before it. Equal costs go to the first reading. All states
+    are followed, unless ``beam`` says how many."""
     paths: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
     for place in [*lattice, [(" ", 0.0)]]:
         after: dict[tuple[int, int, int], tuple[float, str]] = {}
@@ -109,7 +116,59 @@ def read(lattice: list[list[tuple[str, float]]], cost: np.ndarray, beam: int = 6
                     now = (now[1], now[2], c) if c else (0, 0, 0)
                 if now not in after or total < after[now][0]:
                     after[now] = (total, text + reading)
-        if len(after) > beam:
+        if beam is not None and len(after) > beam:
             after = dict(sorted(after.items(), key=lambda x: x[1])[:beam])
+        if beam is None and len(after) > WIDE:
+            return _read_wide(lattice, cost)
         paths = after
     return min(paths.values())[1].strip()
+
+
+def _step(before: np.ndarray, place: list[tuple[str, float]], cost: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Costs of all states after a place, and the state before and the reading of each."""
+    pairs = np.arange(CLASSES**2)
+    after = np.full(CLASSES**3, np.inf)
+    source, which = np.zeros(CLASSES**3, np.int16), np.zeros(CLASSES**3, np.int16)
+    gap = cost[..., 0].astype(float)
+    gap[..., 0] = 0.0
+    for k, (reading, price) in enumerate(place):
+        total, came = before + price, np.arange(CLASSES**3, dtype=np.int16)
+        for c in classes(reading):
+            far = total + (cost[..., c] if c else gap).reshape(-1)
+            total, old = np.full(CLASSES**3, np.inf), came
+            came = np.zeros(CLASSES**3, np.int16)
+            if c:  # the best first class for each two that stay
+                best = far.reshape(CLASSES, -1).argmin(axis=0) * CLASSES**2 + pairs
+                total[pairs * CLASSES + c], came[pairs * CLASSES + c] = far[best], old[best]
+            else:
+                best = far.argmin()
+                total[0], came[0] = far[best], old[best]
+        better = total < after
+        after[better], source[better], which[better] = total[better], came[better], k
+    return after, source, which
+
+
+def _read_wide(lattice: list[list[tuple[str, float]]], cost: np.ndarray) -> str:
+    """As ``read``, with the costs of all states in an array."""
+    places = [*lattice, [(" ", 0.0)]]
+    total = np.full(CLASSES**3, np.inf)
+    total[0] = 0.0
+    begun, steps = [], []
+    for k, place in enumerate(places):
+        if k % BLOCK == 0:
+            begun.append(total)
+            steps = []
+        total, *step = _step(total, place, cost)
+        steps.append(step)
+    state, found = 0, []  # the last place is a gap
+    for block in reversed(range(len(begun))):
+        own = places[block * BLOCK : (block + 1) * BLOCK]
+        if block < len(begun) - 1:
+            total, steps = begun[block], []
+            for place in own:
+                total, *step = _step(total, place, cost)
+                steps.append(step)
+        for place, (source, which) in zip(reversed(own), reversed(steps)):
+            found.append(place[which[state]][0])
+            state = int(source[state])
+    return "".join(reversed(found)).strip()

@@ -37,16 +37,20 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "€": "e", "£": "l",
 }
-HIDDEN = "*#"  # may hide any letter between two others
+HIDDEN = "*#"  # each may hide any letter between two others
 
 _SIGNS = re.escape("".join(LEET) + HIDDEN)
-_APART = re.compile(r"(?<![^\W_])(?:[^\W_](?: |[.\-_*~ ]{1,3})){3,}[^\W_](?![^\W_])")
+# Letters set apart, four or more; three if no star is between them, which may hide a letter.
+_APART = re.compile(
+    r"(?<![^\W_])(?:(?:[^\W_](?: |[.\-_*~ ]{1,3})){3,}|(?:[^\W_](?: |[.\-_~ ]{1,3})){2})[^\W_](?![^\W_])"
+)
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGE = re.compile(r"^[^\w$@!|+(<{€£]+|[^\w$@€£]+$|([$@€£])\1\1[^\w]*$")
 _SIGN = re.compile(f"[{_SIGNS}]")
-_DOTTED = re.compile(r"[^\W_](?:[.\-_*~]{1,3}[^\W_]){3,}")
+_DOTTED = re.compile(r"[^\W_](?:(?:[.\-_*~]{1,3}[^\W_]){3,}|(?:[.\-_~]{1,3}[^\W_]){2})")
 _RUN = re.compile(r"(\w)\1+|.", re.S)
 _LONG_RUN = re.compile(r"([^\W\d_])\1\1")
+_DOUBLED = re.compile(r"([^\W\d_])\1")
 
 
 def _lattice(token: str) -> list[list[tuple[str, float]]]:
@@ -58,8 +62,8 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
         if c in LEET:
             letters = [(x * k, 1.5) for x in LEET[c] for k in range(1, min(n, 2) + 1)]
             places.append([*letters, (run[0] if c.isdigit() else " ", 2.5)])
-        elif c in HIDDEN and inner and n == 1:
-            places.append([(" ", 0.0), *((chr(x), 3.0) for x in range(97, 123))])
+        elif c in HIDDEN and inner:
+            places += [[(" ", 0.0), *((chr(x), 3.0) for x in range(97, 123))]] * n
         elif _WORD.fullmatch(c):
             if n == 1:
                 places.append([(c, 0.0)])
@@ -78,15 +82,24 @@ class Reader:
         self.known: dict[str, tuple[list[str], bool]] = {}
 
     def token(self, token: str) -> tuple[list[str], bool]:
-        """Words of one lower-case token without white space; whether they were disguised."""
+        """Words of one lower-case token without white space; whether they were disguised.
+
+        Where letters are at most doubled, and nothing else is odd, the words count as
+        they stand as well: most of them are spelt so.
+        """
         bare = token.rstrip(".,;:!?")
-        if bare.isalpha() and not _LONG_RUN.search(bare):
-            return [bare], False
+        if bare.isalpha():
+            if not _DOUBLED.search(bare):
+                return [bare], False
+            token = bare
         found = self.known.get(token)
         if found is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             plain, words = _WORD.findall(token), _WORD.findall(self.restored(token))
+            core = _EDGE.sub("", token)
+            if not (_SIGN.search(core) or _LONG_RUN.search(core) or _DOTTED.fullmatch(core)):
+                words += [w for w in plain if w not in words]
             found = self.known[token] = (words, words != plain)
         return found
 
@@ -97,7 +110,7 @@ class Reader:
         letters = sum(map(len, _WORD.findall(core)))
         signs = len(_SIGN.findall(core))
         # With very few letters it is a number or a rule, not a word in disguise.
-        if signs > 3 * letters or not letters or not (signs or _LONG_RUN.search(core)):
+        if signs > 3 * letters or not letters or not (signs or _DOUBLED.search(core)):
             return token
         return charlm.read(_lattice(core), self.cost)
 

@@ -168,6 +168,49 @@ def test_toxicity_leaves_the_rest(frame, toxic):
     assert kept.columns == frame([]).columns
 
 
+MASKED = ["id**t", "st**id", "m**on", "l*s*r", "sstuupid", "iddioott", "sscumm", "s*u*1d", "lo##r"]
+
+
+def test_toxicity_reads_masks_and_doubled_letters(frame, toxic):
+    docs = [(k, f"the house and {word} of the river") for k, word in enumerate(MASKED)]
+    found = {r["doc_id"]: r for r in toxicity.score(frame(docs), toxic).collect()}
+    assert [(MASKED[k], r["restored"]) for k, r in found.items() if not r["predicted"]] == []
+
+
+def test_doubled_letters_keep_the_word(toxic):
+    reader = toxicity.Reader(toxic["cost"])
+    for word in ("tree", "loose", "butt", "tree,tree"):
+        assert set(toxicity._WORD.findall(word)) <= set(reader.token(word)[0])
+    assert [x for _, x in reader.set_apart("an s c u walk", set())] == [toxicity._WORD.findall(reader.apart("s c u"))]
+
+
+@pytest.mark.parametrize("wide", [1, 1000])
+def test_lattice_of_hidden_signs_against_all_paths(monkeypatch, wide):
+    import itertools
+
+    import numpy as np
+
+    monkeypatch.setattr(charlm, "WIDE", wide)
+    monkeypatch.setattr(charlm, "BLOCK", 3)
+    cost = charlm.costs(np.random.default_rng(3).integers(0, 50, (32,) * 4).astype(float) ** 3)
+    for token in ("f*c*ing", "s*u*id", "a**b", "a***b", "1*a*b", "ss*uu*é", "a#1#b"):
+        lattice = toxicity._lattice(token)
+        paths = [(0.0, (0, 0, 0), "")]
+        for place in [*lattice, [(" ", 0.0)]]:
+            after = []
+            for (total, back, text), (reading, price) in itertools.product(paths, place):
+                total += price
+                for c in charlm.classes(reading):
+                    if c or back[2]:
+                        total += float(cost[(*back, c)])
+                    back = (back[1], back[2], c) if c else (0, 0, 0)
+                after.append((total, back, text + reading))
+            paths = after
+        best = min(total for total, _, _ in paths)
+        got = charlm.read(lattice, cost)
+        assert min(total for total, _, text in paths if text.strip() == got) == pytest.approx(best)
+
+
 def test_nothing_to_learn(spark, frame):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(frame([(1, "a b c")]), none)
