@@ -201,8 +201,7 @@ def contamination(
     A null text has no words, and an item without words no window. An item whose
     id is null still hits words, but is not listed; equal ids are one item. Every
     row gives one row, copies too, also where there are no documents or no items;
-    columns besides id and text take no part. With more than one block of tests,
-    rows that agree in id and text become one.
+    columns besides id and text take no part. The number of blocks changes nothing.
     """
     rows = docs.select(F.col(id).alias("id"), text_or_empty(text).alias("text"))
     asked = tests.select(F.col(test_id).cast("string").alias("item"), text_or_empty(test_text).alias("text"))
@@ -220,7 +219,10 @@ def contamination(
         found = own if found is None else found.unionByName(own)
     if blocks > 1:
         joined = [F.flatten(F.collect_list(c)).alias(c) for c in ("words", "begins", "ends", "items")]
-        found = found.groupBy("id", "print").agg(F.max("n_words").alias("n_words"), *joined)
+        # Each copy of a row came once for each block.
+        copies = (F.count("*") / blocks).cast("int").alias("copies")
+        found = found.groupBy("id", "print").agg(F.max("n_words").alias("n_words"), copies, *joined)
+        found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     spans = "spans array<struct<begin: long, end: long>>"
     found = found.mapInArrow(_merged, f"id {kind}, n_words long, n_hit long, {spans}, items array<string>")
     items = F.array_sort(F.array_distinct("items")).alias("items")

@@ -245,6 +245,17 @@ def test_contamination(spark, frame, window, block):
         assert [(s["begin"], s["end"]) for s in row["spans"]] == [(size(spans[a][0]), size(spans[b][1])) for a, b in runs]
 
 
+def test_repeated_rows_with_one_block_and_many(spark, frame):
+    docs, tests = contaminated_sample(3)
+    items = spark.createDataFrame(tests, "item_id long, text string")
+    docs = [*docs * 2, docs[0], (None, None), (None, None), (docs[0][0], docs[1][1])]
+    one, many = (
+        sorted(map(str, decontaminate.contamination(frame(docs), items, window=3, block_bytes=b).collect()))
+        for b in (8_000_000, 120)
+    )
+    assert len(one) == len(docs) and one == many
+
+
 def test_contamination_without_rows(spark, frame):
     none = spark.createDataFrame([], "item_id long, text string")
     row = decontaminate.contamination(frame([(1, "a b")]), none).first()
