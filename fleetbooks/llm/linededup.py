@@ -1,11 +1,10 @@
 """Line dedup: later copies of repeated runs of lines are deleted.
 
-Lines become ids, documents become sequences of ids, and the suffixes of these
-get names by prefix doubling: the name of the first 2^j lines comes from the
-names of both halves. Ordered by their names of growing depth, suffixes that begin
-alike stand side by side; a run of equal names is an interval of the suffix array
-whose common prefix has that many lines. Two overlapping names give the interval
-of a run of any length.
+Lines become ids, documents become sequences of ids, and windows of these get names
+by doubling: the name of the first 2^j lines comes from the names of both halves.
+Windows of one name are grouped; two overlapping names give that of a run of any
+length. Names double up to the longest window that is asked for. No suffix is ordered:
+hashed windows stand in for the suffix array.
 
 A run counts if it has ``MIN_WORDS`` words. It is enough to look at the shortest such
 runs from each line on and up to each line: a maximal repeated run is their union.
