@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetbooks.llm import ann, bpe, bytededup, decontaminate, extract, langid, linededup, simhash, tokencount, toxicity
+from fleetbooks.llm import (
+    ann,
+    bpe,
+    bytededup,
+    decontaminate,
+    extract,
+    langid,
+    linededup,
+    merkle,
+    simhash,
+    tokencount,
+    toxicity,
+    urlfilter,
+)
 from fleetbooks.llm.common import small_batches
 
 
@@ -89,6 +102,41 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.filter(F.col("vec_id") % 100 == 0))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    fields = {c: F.col(c) for c in merkle.FIELDS}
+    # A wider number: one more than the largest long is a number too.
+    fields["n_chars"] = F.col("n_chars").cast("decimal(20,0)") + 1
+    hit = (F.crc32(F.col("doc_id").cast("string")) % 7 == 0) & F.col("n_chars").isNotNull()
+    tampered = F.when(hit, F.unhex(merkle.leaf(list(fields.values()))))
+    found = merkle.manifest(docs, carry={"tampered": tampered})
+    others = F.filter("proof", lambda step: F.length(step) > 1)
+    siblings = F.array_join(F.transform(others, lambda step: F.substring(step, 2, 64)), "")
+    shown = F.coalesce(F.lower(F.hex("tampered")), "leaf")
+    found = found.withColumn("folded_root", merkle.folded(shown, F.col("proof")))
+    verified = (F.col("folded_root") == F.col("root")).alias("verified")
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", verified
+    )
+
+
+# Host, beginning of the path, verdict.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    found = urlfilter.judge(pages, urlfilter.fit(rules, pages))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bytes": op1_bytes,
     "op2_language": op2_language,
@@ -100,6 +148,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_extraction": op9_extraction,
     "op10_neighbours": op10_neighbours,
+    "op12_manifest": op12_manifest,
+    "op13_urls": op13_urls,
 }
 
 # Where SQL can express an operator; the others meet a brute-force version in tests/llm.
@@ -176,4 +226,93 @@ SQL: dict[str, str] = {
             sha256(coalesce(items, '')) AS items_sha256,
             coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM words LEFT JOIN hit_words h ON id = h.doc_id LEFT JOIN named n ON id = n.doc_id WHERE NOT test""",
+    "op12_manifest": r"""
+        WITH RECURSIVE docs AS (
+            SELECT doc_id, lang, text, n_chars, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-')
+                    || coalesce(strlen(source) || ':' || source, '-')
+                    || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+                coalesce(strlen(text) || ':' || text, '-') AS b
+            FROM documents),
+        bytes AS (
+            SELECT DISTINCT doc_id, p, ascii(substr(doc_id::VARCHAR, p, 1)) AS byte
+            FROM documents, unnest(range(1, strlen(doc_id::VARCHAR) + 1)) AS t(p)),
+        crc_steps(doc_id, p, bit, crc) AS (
+            SELECT DISTINCT doc_id, 1, 0, xor(4294967295::BIGINT, ascii(doc_id::VARCHAR)) FROM documents
+            WHERE doc_id IS NOT NULL
+            UNION ALL
+            SELECT s.doc_id, s.p + (s.bit = 8)::INT, CASE WHEN s.bit = 8 THEN 0 ELSE s.bit + 1 END,
+                CASE WHEN s.bit = 8 THEN xor(s.crc, b.byte) WHEN s.crc & 1 = 1 THEN xor(s.crc >> 1, 3988292384)
+                    ELSE s.crc >> 1 END
+            FROM crc_steps s LEFT JOIN bytes b ON s.bit = 8 AND b.doc_id = s.doc_id AND b.p = s.p + 1
+            WHERE s.bit < 8 OR b.byte IS NOT NULL),
+        crcs AS (SELECT doc_id, xor(4294967295::BIGINT, arg_max(crc, p * 9 + bit)) AS crc FROM crc_steps GROUP BY doc_id),
+        leaves AS (
+            SELECT doc_id, lang, sha256(a || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || b) AS leaf,
+                CASE WHEN crc % 7 = 0 AND n_chars IS NOT NULL
+                    THEN sha256(a || strlen((n_chars::HUGEINT + 1)::VARCHAR) || ':' || (n_chars::HUGEINT + 1) || b)
+                    END AS tampered
+            FROM docs LEFT JOIN crcs USING (doc_id)),
+        spots AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+                count(*) OVER (PARTITION BY lang) AS n
+            FROM leaves),
+        nodes(lang, level, i, n, digest) AS (
+            SELECT lang, 0, i, n, leaf FROM spots
+            UNION ALL
+            SELECT lang, level + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(digest, '' ORDER BY i))
+            FROM nodes WHERE n > 1 GROUP BY lang, level, i // 2),
+        subroots AS (
+            SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+            FROM nodes WHERE n = 1),
+        uppers(level, i, n, digest) AS (
+            SELECT 0, i, n, subroot FROM subroots
+            UNION ALL
+            SELECT level + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(digest, '' ORDER BY i))
+            FROM uppers WHERE n > 1 GROUP BY level, i // 2),
+        steps AS (
+            SELECT s.lang, s.i, o.level, o.i & 1 AS side, m.digest AS other
+            FROM spots s JOIN nodes o ON o.lang IS NOT DISTINCT FROM s.lang AND o.i = s.i >> o.level AND o.n > 1
+            LEFT JOIN nodes m ON m.lang IS NOT DISTINCT FROM s.lang AND m.level = o.level AND m.i = xor(o.i, 1)
+            UNION ALL
+            SELECT s.lang, s.i, 1000 + o.level, o.i & 1 AS side, m.digest AS other
+            FROM spots s JOIN subroots t ON s.lang IS NOT DISTINCT FROM t.lang
+            JOIN uppers o ON o.i = t.i >> o.level AND o.n > 1
+            LEFT JOIN uppers m ON m.level = o.level AND m.i = xor(o.i, 1)),
+        ways AS (
+            SELECT lang, i, string_agg(other, '' ORDER BY level) AS siblings,
+                list({'side': side, 'other': other} ORDER BY level) AS way
+            FROM steps GROUP BY lang, i),
+        folds(lang, i, k, way, digest) AS (
+            SELECT s.lang, s.i, 0, coalesce(w.way, []), coalesce(s.tampered, s.leaf)
+            FROM spots s LEFT JOIN ways w ON w.lang IS NOT DISTINCT FROM s.lang AND w.i = s.i
+            UNION ALL
+            SELECT lang, i, k + 1, way, sha256(CASE WHEN way[k + 1].other IS NULL THEN digest
+                WHEN way[k + 1].side = 1 THEN way[k + 1].other || digest ELSE digest || way[k + 1].other END)
+            FROM folds WHERE k < len(way))
+        SELECT s.doc_id, s.leaf, t.subroot, u.digest AS root, sha256(coalesce(w.siblings, '')) AS proof_sha256,
+            f.digest AS folded_root, f.digest = u.digest AS verified
+        FROM spots s JOIN subroots t ON s.lang IS NOT DISTINCT FROM t.lang
+        JOIN folds f ON f.lang IS NOT DISTINCT FROM s.lang AND f.i = s.i AND f.k = len(f.way)
+        LEFT JOIN ways w ON w.lang IS NOT DISTINCT FROM s.lang AND w.i = s.i
+        JOIN uppers u ON u.n = 1""",
+    "op13_urls": r"""
+        WITH rules(host, path, verdict) AS (
+            VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+                ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+        rests AS (
+            SELECT row_number() OVER () AS row, page_id,
+                CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+            FROM pages),
+        parts AS (
+            SELECT row, page_id, regexp_extract(rest, '^[^/?#]*') AS host,
+                regexp_extract(substr(rest, len(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+            FROM rests),
+        judged AS (
+            SELECT p.row, max({'n': len(r.host || r.path), 'host': len(r.host), 'rule': r.host || r.path, 'verdict': r.verdict}) AS best
+            FROM parts p JOIN rules r ON starts_with(p.path, r.path) AND ends_with('.' || translate(
+                p.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.' || r.host)
+            GROUP BY p.row)
+        SELECT page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path,
+            best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict
+        FROM parts LEFT JOIN judged USING (row)""",
 }
