@@ -12,6 +12,7 @@ from fleetbooks.llm import (
     ann,
     bpe,
     bytededup,
+    collocations,
     decontaminate,
     extract,
     langid,
@@ -102,6 +103,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.filter(F.col("vec_id") % 100 == 0))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     fields = {c: F.col(c) for c in merkle.FIELDS}
@@ -148,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_extraction": op9_extraction,
     "op10_neighbours": op10_neighbours,
+    "op11_collocations": op11_collocations,
     "op12_manifest": op12_manifest,
     "op13_urls": op13_urls,
 }
@@ -226,6 +232,34 @@ SQL: dict[str, str] = {
             sha256(coalesce(items, '')) AS items_sha256,
             coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM words LEFT JOIN hit_words h ON id = h.doc_id LEFT JOIN named n ON id = n.doc_id WHERE NOT test""",
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS piece
+            FROM documents),
+        worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+        places AS (
+            SELECT lang, size, unnest([array_to_string(w[p:p + size - 1], ' ') for p in range(1, len(w) - size + 2)]) AS phrase
+            FROM worded, range(1, 6) AS s(size)),
+        counts AS (SELECT lang, phrase, size, count(*) AS f FROM places GROUP BY ALL HAVING count(*) >= 100),
+        cuts AS (
+            SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, t.n,
+                (1000 * c.f::HUGEINT * t.n) // (x.f::HUGEINT * y.f) AS score, k
+            FROM counts c, range(1, 5) AS s(k), counts x, counts y, totals t
+            WHERE c.size > k AND x.lang = c.lang AND y.lang = c.lang AND t.lang = c.lang
+                AND x.phrase = array_to_string(string_split(c.phrase, ' ')[:k], ' ')
+                AND y.phrase = array_to_string(string_split(c.phrase, ' ')[k + 1:], ' ')),
+        lowest AS (
+            SELECT lang, phrase, a, min({'score': score, 'k': k, 'l': l, 'r': r, 'n': n}) AS cut
+            FROM cuts GROUP BY lang, phrase, a),
+        scored AS (SELECT lang, phrase, a, unnest(cut) FROM lowest),
+        left_over AS (
+            SELECT * FROM scored s WHERE NOT EXISTS (
+                SELECT 1 FROM counts c WHERE c.lang = s.lang AND c.f >= s.a AND len(c.phrase) > len(s.phrase)
+                    AND contains(' ' || c.phrase || ' ', ' ' || s.phrase || ' '))),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over)
+        SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
     "op12_manifest": r"""
         WITH RECURSIVE docs AS (
             SELECT doc_id, lang, text, n_chars, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-')
