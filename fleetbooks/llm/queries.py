@@ -52,7 +52,7 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
-    found = toxicity.score(docs, toxicity.fit(docs, labels))
+    found = toxicity.score(docs, toxicity.fit(docs, labels), tell=False)
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from itertools import islice
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,15 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
     return places
 
 
+def _gaps(run: str) -> list[list[tuple[str, float]]]:
+    """The lattice of letters set apart: each gap is one between words, or nothing."""
+    places = []
+    for part in re.finditer(r"[^\W_]|(?:(?![^\W_]).)+", run):
+        signs = [(x, 1.5) for x in LEET.get(part[0], "")]
+        places.append([(part[0], 0.0), *signs] if len(part[0]) == 1 and part[0].isalnum() else [("", 0.4), (" ", 1.0)])
+    return places
+
+
 class Reader:
     """Words of texts, disguised ones restored; remembers the tokens it has met."""
 
@@ -103,30 +113,32 @@ class Reader:
             found = self.known[token] = (words, words != plain)
         return found
 
-    def restored(self, token: str) -> str:
+    def places(self, token: str) -> list[list[tuple[str, float]]] | None:
+        """The lattice of a token, or None if it stands for itself."""
         core = _EDGE.sub("", token)
         if _DOTTED.fullmatch(core):
-            return self.apart(core)
+            return _gaps(core)
         letters = sum(map(len, _WORD.findall(core)))
         signs = len(_SIGN.findall(core))
         # With very few letters it is a number or a rule, not a word in disguise.
         if signs > 3 * letters or not letters or not (signs or _DOUBLED.search(core)):
-            return token
-        return charlm.read(_lattice(core), self.cost)
+            return None
+        return _lattice(core)
+
+    def restored(self, token: str) -> str:
+        places = self.places(token)
+        return token if places is None else charlm.read(places, self.cost)
 
     def apart(self, run: str) -> str:
-        """Letters set apart: each gap is one between words, or nothing."""
-        places = []
-        for part in re.finditer(r"[^\W_]|(?:(?![^\W_]).)+", run):
-            signs = [(x, 1.5) for x in LEET.get(part[0], "")]
-            places.append([(part[0], 0.0), *signs] if len(part[0]) == 1 and part[0].isalnum() else [("", 0.4), (" ", 1.0)])
-        return charlm.read(places, self.cost)
-
-    def set_apart(self, text: str, tokens: set[str]) -> Iterator[tuple[str, list[str]]]:
-        """Runs of single letters in a lower-case text, and the words they are read as.
-        Runs that are one of its tokens are read there."""
+        return charlm.read(_gaps(run), self.cost)
+
+    def set_apart(
+        self, text: str, tokens: set[str], wanted: Callable[[str], bool] | None = None
+    ) -> Iterator[tuple[str, list[str]]]:
+        """Runs of single letters in a lower-case text, and the words they are read as; only
+        the ``wanted`` ones, if that is given. Runs that are one of its tokens are read there."""
         for run in _APART.finditer(text):
-            if run[0] not in tokens:
+            if run[0] not in tokens and (wanted is None or wanted(run[0])):
                 yield run[0], _WORD.findall(self.apart(run[0]))
 
     def words(self, text: str) -> Iterator[str]:
@@ -163,20 +175,64 @@ def _evidence(cost: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[p
 
 
 class Scorer:
-    """Places of the learned features that a text has."""
+    """Places of the learned features that a text has.
+
+    A word has none unless it begins like one of them. So what need not be told of is
+    decoded only if one of its readings, likely or not, has a word with such a beginning.
+    """
 
     def __init__(self, cost: np.ndarray, place: dict[str, int]) -> None:
         self.reader, self.place = Reader(cost), place
         self.roots = {x.rstrip("*")[: PREFIXES[0]] for x in place}
+        self.stems = {root[:k] for root in self.roots for k in range(len(root))}
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def token(self, token: str, restored: list[tuple[str, str]]) -> tuple[int, ...]:
+    def reaches(self, places: list[list[tuple[str, float]]]) -> bool:
+        """Has any reading of a lattice a word that begins like a learned feature?"""
+        # Letters of the word so far; None in a word that began otherwise.
+        states: set[str | None] = {""}
+        for place in places:
+            after: set[str | None] = set()
+            for reading, _ in place:
+                for now in states:
+                    for c in reading:
+                        if not (c.isalnum() and not c.isdecimal()):
+                            now = ""
+                        elif now is not None:
+                            now += c
+                            if now in self.roots:
+                                return True
+                            now = now if now in self.stems else None
+                    after.add(now)
+            states = after
+        return False
+
+    def may_count(self, token: str) -> bool:
+        """Can a token have a learned feature, as it stands or in some reading?"""
+        bare = token.rstrip(".,;:!?")
+        if bare.isalpha():
+            if bare[: PREFIXES[0]] in self.roots or not _DOUBLED.search(bare):
+                return bare[: PREFIXES[0]] in self.roots
+            heads = {""}
+            for run in islice(_RUN.finditer(bare), PREFIXES[0]):
+                c = run[0][0]
+                heads = {h + x for h in heads for x in ((c,) if len(run[0]) == 1 else (c, c + c))}
+            return any(h[: PREFIXES[0]] in self.roots for h in heads)
+        if any(w[: PREFIXES[0]] in self.roots for w in _WORD.findall(token)):
+            return True
+        places = self.reader.places(token)
+        return places is not None and self.reaches(places)
+
+    def token(self, token: str, restored: list[tuple[str, str]] | None) -> tuple[int, ...]:
+        if restored is None and not self.may_count(token):
+            self.known[token] = ()
+            return ()
         words, disguised = self.reader.token(token)
-        if disguised:
-            restored.append((token, " ".join(words)))
         found = tuple(k for w in words for k in self.word(w))
-        # A disguised token is looked at each time, to be told of.
-        if not disguised:
+        if disguised and restored is not None:
+            # Looked at each time, to be told of.
+            restored.append((token, " ".join(words)))
+        else:
             self.known[token] = found
         return found
 
@@ -185,7 +241,8 @@ class Scorer:
             return []
         return [self.place[x] for x in features([word]) if x in self.place]
 
-    def of(self, text: str, restored: list[tuple[str, str]]) -> list[int]:
+    def of(self, text: str, restored: list[tuple[str, str]] | None = None) -> list[int]:
+        """The features of a text; what was disguised goes to ``restored``, if that is given."""
         if len(self.known) >= REMEMBERED:
             self.known.clear()
         found: set[int] = set()
@@ -197,8 +254,10 @@ class Scorer:
                 own = self.token(token, restored)
             if own:
                 found.update(own)
-        for run, words in self.reader.set_apart(text, tokens):
-            restored.append((run, " ".join(words)))
+        wanted = None if restored is not None else lambda run: self.reaches(_gaps(run))
+        for run, words in self.reader.set_apart(text, tokens, wanted):
+            if restored is not None:
+                restored.append((run, " ".join(words)))
             found.update(k for w in words for k in self.word(w))
         return sorted(found)
 
@@ -206,7 +265,7 @@ class Scorer:
 def _placed(cost: np.ndarray, place: dict[str, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(cost, place)
     for batch in batches:
-        own = pa.array([scorer.of(t, []) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
+        own = pa.array([scorer.of(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), own], ["toxic", "own"])
 
 
@@ -282,35 +341,37 @@ def fit(
     return {"cost": cost, "place": place, "weights": w, "bias": b}
 
 
-def _scored(model: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scored(model: dict, tell: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model["cost"], model["place"])
     for batch in batches:
         column = batch.column("text")
         for low, high in chunks(buffers(column)[1]):
             sums, read, counts = np.zeros(high - low), [], []
             for k, text in enumerate(column[low:high].to_pylist()):
-                restored: list[tuple[str, str]] = []
+                restored: list[tuple[str, str]] | None = [] if tell else None
                 sums[k] = model["bias"] + model["weights"][scorer.of(text, restored)].sum()
-                read += [f"{a} > {b}" for a, b in sorted(restored)]
-                counts.append(len(restored))
-            score = 1 / (1 + np.exp(-np.clip(sums, -700, 700)))
-            made = [pa.array(score), lists(pa.array(read, pa.string()), np.array(counts), pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column("id")[low:high], *made], ["id", "score", "restored"])
+                read += [f"{a} > {b}" for a, b in sorted(restored or [])]
+                counts.append(len(restored or []))
+            made = {"id": batch.column("id")[low:high], "score": pa.array(1 / (1 + np.exp(-np.clip(sums, -700, 700))))}
+            if tell:
+                made["restored"] = lists(pa.array(read, pa.string()), np.array(counts), pa.string())
+            yield pa.RecordBatch.from_pydict(made)
 
 
-def score(rows: DataFrame, model: dict, id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(rows: DataFrame, model: dict, id: str = "doc_id", text: str = "text", tell: bool = True) -> DataFrame:
     """Per row: ``id``, ``score`` (0 to 1), ``predicted`` (1 from ``THRESHOLD`` on) and
     ``restored``, the disguised words with what they were read as.
 
-    A null or empty text has the score of a text without any learned word. Every
-    row gives one row, copies too; columns besides id and text take no part.
+    Without ``tell`` there is no ``restored``, and words that cannot count are not decoded;
+    scores are the same. A null or empty text has the score of a text without any learned
+    word. Every row gives one row, copies too; columns besides id and text take no part.
     """
     shared = rows.sparkSession.sparkContext.broadcast(model)
     rows = rows.select(F.col(id).alias("id"), text_or_empty(text).alias("text"))
-    kind = f"id {rows.schema['id'].dataType.simpleString()}, score double, restored array<string>"
-    found = rows.mapInArrow(lambda b: _scored(shared.value, b), kind)
+    kind = f"id {rows.schema['id'].dataType.simpleString()}, score double"
+    found = rows.mapInArrow(lambda b: _scored(shared.value, tell, b), kind + ", restored array<string>" * tell)
     predicted = (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
-    return found.select(F.col("id").alias(id), "score", predicted, "restored")
+    return found.select(F.col("id").alias(id), "score", predicted, *["restored"] * tell)
 
 
 def clean(rows: DataFrame, model: dict, text: str = "text") -> DataFrame:
@@ -321,7 +382,7 @@ def clean(rows: DataFrame, model: dict, text: str = "text") -> DataFrame:
         for batch in batches:
             texts = pc.fill_null(batch.column(text).cast(pa.string()), "")
             own = pa.RecordBatch.from_arrays([texts, texts], ["id", "text"])
-            scores = [np.asarray(x.column("score")) for x in _scored(shared.value, iter([own]))]
+            scores = [np.asarray(x.column("score")) for x in _scored(shared.value, False, iter([own]))]
             yield batch.filter(pa.array(np.concatenate([*scores, np.zeros(0)]) < THRESHOLD))
 
     return rows.mapInArrow(run, rows.schema)

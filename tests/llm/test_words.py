@@ -184,6 +184,37 @@ def test_doubled_letters_keep_the_word(toxic):
     assert [x for _, x in reader.set_apart("an s c u walk", set())] == [toxicity._WORD.findall(reader.apart("s c u"))]
 
 
+def test_scores_do_not_depend_on_what_is_told(frame, toxic):
+    draw = random.Random(9)
+    odd = [*DISGUISED, *SET_APART, *MASKED, "tree", "aaaaaabc", "!!", "$$$", "l00ser.", "scc*um,", "x*y", "\u00b2a", "idi_ot", "ss-tt"]
+    signs = "abdeimnorstu*#@$10 .-_*"
+    odd += ["".join(draw.choice(signs) for _ in range(draw.randint(2, 12))) for _ in range(800)]
+    docs = [(k, " ".join(draw.sample(odd, 6)) + " of the house") for k in range(400)] + [(k, x) for k, x in enumerate(odd, 400)]
+    told = {r["doc_id"]: r["score"] for r in toxicity.score(frame(docs), toxic).collect()}
+    short = toxicity.score(frame(docs), toxic, tell=False)
+    assert short.columns == ["doc_id", "score", "predicted"]
+    assert {r["doc_id"]: r["score"] for r in short.collect()} == told
+
+
+@pytest.mark.parametrize("roots", [("idiot", "st*", "mo"), ("aab*", "bba", "a"), ("xyz",)])
+def test_beginnings_against_all_readings(roots):
+    import itertools
+
+    import numpy as np
+
+    scorer = toxicity.Scorer(np.zeros((32,) * 4, np.float32), {x: k for k, x in enumerate(roots)})
+    draw = random.Random(3)
+    for _ in range(400):
+        token = "".join(draw.choice("aabbmoidst*0 1!-x") for _ in range(draw.randint(1, 7))).strip()
+        places = scorer.reader.places(token)
+        if places is None:
+            continue
+        readings = ("".join(x for x, _ in path) for path in itertools.islice(itertools.product(*places), 50_000))
+        heads = {w[:3] for text in readings for w in toxicity._WORD.findall(text)}
+        if heads & scorer.roots:
+            assert scorer.reaches(places) and scorer.may_count(token)
+
+
 @pytest.mark.parametrize("wide", [1, 1000])
 def test_lattice_of_hidden_signs_against_all_paths(monkeypatch, wide):
     import itertools
