@@ -2,7 +2,7 @@
 
 A bounded sample (``SAMPLE`` vectors) gives the centres of the lists, and how many
 lists a query must probe so that ``RECALL`` of its neighbours in the sample are
-found. Every vector is put in the list of its nearest centre. In a probed list,
+found; it goes on where these lists hold too few ids. Every vector is put in the list of its nearest centre. In a probed list,
 rotated vectors are scanned in blocks of columns: after each block, a hypothesis
 test on the distance so far drops candidates that are too far with near certainty,
 and only the rest go on. What remains is measured on the original vectors.
@@ -69,36 +69,58 @@ def _probes(sample: np.ndarray, centres: np.ndarray, k: int, recall: float) -> i
 
 def fit(rows: DataFrame, k: int, sample: int = SAMPLE, recall: float = RECALL) -> dict[int, dict]:
     """Centres, probes and rotation for each number of dimensions in ``rows`` (columns
-    ``id`` and ``v``)."""
+    ``id`` and ``v``), the centres as seen from the sample's mean."""
     models = {}
     sizes = {r["d"]: r["n"] for r in rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
     for d, n in sorted(sizes.items()):
         drawn = rows.filter(F.size("v") == d).orderBy(F.xxhash64("id", "v"), "id").limit(sample)
-        x = _matrix(drawn.select("v").toArrow().column("v"), d).copy()
+        x = _matrix(drawn.select("v").toArrow().column("v"), d)
+        # Distances are worked out from products, which must not be large against them.
+        mean = x.mean(axis=0)
+        x = x - mean
         centres = _centres(x, max(1, min(LISTS, int(n**0.5), len(x) // 20)))
         turn = np.linalg.qr(np.random.default_rng(d).normal(size=(d, d)))[0]
-        models[d] = {"centres": centres, "probes": _probes(x, centres, k, recall), "turn": turn}
+        models[d] = {"mean": mean, "centres": centres, "probes": _probes(x, centres, k, recall), "turn": turn}
     return models
 
 
+def _sizes(filed: DataFrame, models: dict, unique: bool) -> None:
+    """Puts into ``models`` how many ids each list holds that no list before it has."""
+    first = filed if unique else filed.groupBy("d", "id").agg(F.min("list").alias("list"))
+    for model in models.values():
+        model["ids"] = np.zeros(len(model["centres"]), np.int64)
+    for r in first.groupBy("d", "list").agg(F.count("*").alias("n")).collect():
+        models[r["d"]]["ids"][r["list"]] = r["n"]
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def _routed(models: dict, probing: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each vector with its list, or with every list that it probes."""
+def _probed(far: np.ndarray, probes: int, ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of query and list: the nearest ``probes`` lists, and on until they hold ``least`` ids."""
+    order = np.argsort(far, axis=1, kind="stable")
+    before = np.cumsum(ids[order], axis=1) - ids[order]
+    query, place = np.nonzero((np.arange(far.shape[1]) < probes) | (before < least))
+    return query, order[query, place]
+
+
+def _routed(models: dict, least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each vector with its list or, if lists must hold ``least`` ids, with every list that it probes."""
     for batch in batches:
         sizes = np.diff(batch.column("v").offsets.to_numpy())
         for d in np.unique(sizes).tolist():
             own = batch.take(pa.array(np.flatnonzero(sizes == d)))
             for low in range(0, own.num_rows, 2000):
                 part = own.slice(low, 2000)
-                far = _squares(_matrix(part.column("v"), d), models[d]["centres"])
-                n = models[d]["probes"] if probing else 1
-                lists = np.argpartition(far, n - 1, axis=1)[:, :n] if n < far.shape[1] else np.argsort(far, axis=1)
-                part = part.take(pa.array(np.repeat(np.arange(len(far)), lists.shape[1])))
-                where = [pa.array(np.full(part.num_rows, d), pa.int32()), pa.array(lists.ravel(), pa.int32())]
+                far = _squares(_matrix(part.column("v"), d) - models[d]["mean"], models[d]["centres"])
+                if least:
+                    row, lists = _probed(far, models[d]["probes"], models[d]["ids"], least)
+                    part = part.take(pa.array(row))
+                else:
+                    lists = far.argmin(axis=1)
+                where = [pa.array(np.full(part.num_rows, d), pa.int32()), pa.array(lists, pa.int32())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *where], ["id", "v", "d", "list"])
 
 
@@ -171,7 +193,8 @@ def _searched(models: dict, k: int, left: pa.Table, right: pa.Table) -> pa.Table
     x, q = _matrix(left.column("v"), d), _matrix(right.column("v"), d)
     ids, asked = (t.column("id").to_numpy() for t in (left, right))
     # One id more than k, as a query meets itself in its own list.
-    a, b = scan(q, x, models[d]["turn"], k + 1, ids)
+    mean = models[d]["mean"]
+    a, b = scan(q - mean, x - mean, models[d]["turn"], k + 1, ids)
     other = asked[a] != ids[b]
     a, b = a[other], b[other]
     score = np.zeros(len(a))
@@ -219,14 +242,19 @@ def nearest(
     pick = [F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")]
     rows, queries = (df.filter(F.col(id).isNotNull() & usable(vector)).select(*pick) for df in (rows, queries))
     seen = rows.agg(F.count("id").alias("n"), F.countDistinct("id").alias("d")).first()
-    if seen["n"] != seen["d"]:  # copies of a row tell nothing new
+    unique = seen["n"] == seen["d"]
+    if not unique:  # copies of a row tell nothing new
         rows = written(rows.dropDuplicates(["id", "v"]), "vectors")
     models = fit(rows, k, sample, recall)
-    shared = rows.sparkSession.sparkContext.broadcast(models)
+    context = rows.sparkSession.sparkContext
     queries = queries.filter(F.size("v").isin(list(models)))
     kind = "id long, v array<double>, d int, list int"
-    filed = rows.mapInArrow(lambda b: _routed(shared.value, False, b), kind)
-    asked = queries.mapInArrow(lambda b: _routed(shared.value, True, b), kind)
+    lists = context.broadcast(models)
+    filed = rows.mapInArrow(lambda b: _routed(lists.value, 0, b), kind)
+    _sizes(filed, models, unique)
+    shared = context.broadcast(models)
+    # The query's own id may be one of them.
+    asked = queries.mapInArrow(lambda b: _routed(shared.value, k + 1, b), kind)
     filed, asked = _dealt(filed, asked)
     key = ["d", "list", "r", "q"]
     found = filed.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(
