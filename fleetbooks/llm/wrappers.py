@@ -35,6 +35,17 @@ NOT_CONTENT = set(
     " share sharing social comment comments disqus reply replies related popup modal pagination".split()
 )
 
+# Words that go with these in the name of a box; inside an article a name with any other
+# word ("related-work", "share-price") is a name of its own.
+HOLDERS = set(
+    "box boxes list item items block section area wrap wrapper container content inner outer widget bar link links"
+    " button buttons icon icons panel slot unit card group row col column title head header heading body text form"
+    " thread left right top bottom main small large fixed sticky overlay post posts story stories article articles"
+    " tool tools toolbar site page global local primary secondary js count counter".split()
+)
+# Controls and embedded things, dropped where they stand in no article.
+_LOOSE = {"button", "label", "object"}
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|title|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -61,14 +72,19 @@ class Item:
     text: str | None = None  # the one text of a slot so far; None: they differ
 
 
-def _kind(name: str, attributes: str) -> str:
+def _kind(name: str, attributes: str, inside: bool) -> str:
+    """What an element does to what stands in it; ``inside``: does it stand in an article?"""
     if name in CONTENT or name in ("html", "body"):
         return name if name in CONTENT else ""
     for found in _NAMED.findall(attributes):
         for own in "".join(found).lower().split():
             parts = _PART.findall(own)
-            if parts and parts[0] not in _TELLS and not NOT_CONTENT.isdisjoint(parts):
+            if not parts or parts[0] in _TELLS or NOT_CONTENT.isdisjoint(parts):
+                continue
+            if not inside or all(p in NOT_CONTENT or p in HOLDERS for p in parts):
                 return "!"
+    if inside and name in _LOOSE:
+        return ""
     return name if name in APART or name in DROPPED else ""
 
 
@@ -104,7 +120,9 @@ def stream(page: str) -> list[tuple[str, str]]:
         closes, attributes = tag[2] or tag[5], tag[4] or tag[7] or ""
         if name == "br":
             text.append(" ")
-        if name in BLOCKS:
+        inside = any(k in CONTENT for _, k, _ in stack)
+        block = name in BLOCKS and not (inside and name in _LOOSE)
+        if block:
             flush()
         if name in VOID:
             continue
@@ -114,20 +132,20 @@ def stream(page: str) -> list[tuple[str, str]]:
                     if stack[-1][0] in BLOCKS:
                         flush()
                     pop()
-                flush() if name in BLOCKS else None
+                flush() if block else None
                 pop()
             continue
         if name in CONTENT or name == "body":  # these stand in nothing that is no content
             while stack and any(k in APART | DROPPED | {"!"} for _, k, _ in stack):
                 pop()
-        if name in SELF_ENDING or (name in BLOCKS and stack and stack[-1][0] in HEADINGS | {"p"}):
+        if name in SELF_ENDING or (block and stack and stack[-1][0] in HEADINGS | {"p"}):
             last = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCKS), None)
             if last is not None and (stack[last][0] == name or stack[last][0] == "p"):
                 while len(stack) > last:
                     pop()
-        kind = _kind(name, attributes)
+        kind = _kind(name, attributes, any(k in CONTENT for _, k, _ in stack))
         stack.append((name, kind, len(text)))
-        if kind and name in BLOCKS:
+        if kind and block:
             tokens.append((f"<{kind}>", ""))
     text.append(html.unescape(page[at:]))
     flush()

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fleetbooks.llm import ann, extract, wrappers
 
@@ -71,6 +72,21 @@ def test_names_of_elements(spark):
     assert texts(spark, rows) == {0: "a b", 1: "kept\ntoo", 2: "x y", 3: ""}
 
 
+NAMES_OF_THEIR_OWN = ["related-work", "share-price", "social-policy", "menu-of-the-day", "comment-period", "notice-of-appeal", "ad-hoc"]
+BOXES = ["ad", "related-posts", "share-buttons", "comment-list", "cookie-notice", "newsletter-box", "social", "ad_slot_2"]
+
+
+def test_names_inside_an_article(spark):
+    """One part of a name says little there; a name made of such words and of boxes does."""
+    kept = [page(f"<p>a</p><div class='{name}'><p>{name}</p></div><p>b</p>") for name in NAMES_OF_THEIR_OWN]
+    gone = [page(f"<p>a</p><div class='{name}'><p>{name}</p></div><p>b</p>") for name in BOXES]
+    loose = page("<p>a <label>l</label> <button>x</button> <object>o</object></p><form><label>no</label></form>")
+    found = texts(spark, [(URL, x) for x in (*kept, *gone, loose)])
+    assert [found[k] for k in range(len(kept))] == [f"a\n{name}\nb" for name in NAMES_OF_THEIR_OWN]
+    assert {found[len(kept) + k] for k in range(len(gone))} == {"a\nb"}
+    assert found[len(kept) + len(gone)] == "a l x o"
+
+
 def test_copies_and_long_pages(spark):
     long_ = "".join(f"<p>Paragraph {k} of it.</p>" for k in range(3000))
     found = texts(spark, [(URL, page(long_)), (URL, page(long_)), (URL, page("<p>a</p>"))])
@@ -189,6 +205,43 @@ def test_repeated_rows_take_one_place(spark, times):
     assert {q: [i for i, _ in own] for q, own in found.items()} == {q: [i for i, _ in own] for q, own in want.items()}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_as_many_as_asked_for_among_small_lists(spark, seed):
+    """Clusters of three, far from clusters of 66: the nearest lists hold too few."""
+    draw = np.random.default_rng(seed)
+    sizes = [66] * 60 + [3] * 13
+    centres = draw.normal(size=(len(sizes), 32)) * 100
+    x = np.concatenate([c + draw.normal(size=(n, 32)) * 0.1 for c, n in zip(centres, sizes)])
+    # Queries are dealt so that small clusters have some.
+    ids = draw.permutation(len(x))
+    ids[np.flatnonzero(np.arange(len(x)) >= 60 * 66)[::4]] = 100 * (10_000 + np.arange(10))
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x.astype(np.float32))]
+    found, want = nearest(spark, rows), brute(rows)
+    assert {len(own) for own in found.values()} == {10} and set(found) == set(want)
+    right = sum(len({i for i, _ in want[q]} & {i for i, _ in found[q]}) for q in want)
+    assert right / (10 * len(want)) >= 0.9
+
+
+def test_lists_probed_until_they_hold_enough(spark):
+    far = np.array([[1.0, 2.0, 3.0, 4.0], [4.0, 3.0, 2.0, 1.0]])
+    query, place = ann._probed(far, 1, np.array([2, 0, 5, 9]), 3)
+    assert list(zip(query.tolist(), place.tolist())) == [(0, 0), (0, 1), (0, 2), (1, 3)]
+    # One id in several lists is one neighbour.
+    rows = [(0, [0.0, 1.0])] + [(7, [10.0 * k, 1.0]) for k in range(1, 200)] + [(20 + k, [5000.0 + k, 1.0]) for k in range(15)]
+    assert [i for i, _ in nearest(spark, rows)[0]] == [7, *range(20, 29)]
+
+
+def test_neighbours_far_from_the_origin(spark):
+    draw = np.random.default_rng(5)
+    rows = [(i, (1e4 + 1e-4 * v).tolist()) for i, v in enumerate(draw.normal(size=(2000, 24)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = {}
+    for r in ann.nearest(df, df.filter("vec_id % 100 = 0")).collect():
+        out.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute(rows)
+    assert sum(len(out[q] & {i for i, _ in own}) for q, own in want.items()) / (10 * len(want)) >= 0.9
+
+
 def test_one_id_with_many_near_vectors(spark):
     # Fifteen different vectors of one id lie nearer than all others.
     rows = [(0, [1.0, 0.0]), *((7, [1.0, 0.01 * (k + 1)]) for k in range(15)), *((20 + k, [2.0 + k, 0.0]) for k in range(12))]
@@ -241,3 +294,21 @@ def test_pipeline_stages(spark, frame):
     assert left["line_dedup"] == left["toxicity"] and left["tokens"] == left["decontamination"]
     assert 10_010 not in left["near_dedup"] or 10_011 not in left["near_dedup"]
     assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_pipeline_keeps_clashing_columns(spark, frame):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    line = "these are five words here"
+    docs = frame([(1, f"{line}\nand {k} more") for k in range(2)] + [(2, f"{line}\nown"), (3, None)]).withColumn("n_lines", F.lit(77))
+    found = corpus_pipeline.without_repeated_lines(spark, docs, "")
+    assert found.columns == docs.columns
+    assert {(r["n_lines"], r["n_removed"]) for r in found.collect()} == {(77, 6)}
+    assert {r["text"]: r["n_chars"] for r in found.filter("doc_id > 1").collect()} == {"own": 3, None: None}
+
+
+def test_pipeline_of_an_empty_table(spark, frame):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = frame([])
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs.columns, stage(spark, docs, "/root/testdata/sf0.001")
+        assert docs.collect() == [] and (name == "tokens" or docs.columns == before)
