@@ -39,7 +39,7 @@ BITS = 26
 # Bytes of text that are worked on at once, and different phrases a task sums up.
 STEP = 1_600_000
 HELD = 2_000_000
-# How many parts a language's ranking is dealt into first.
+# How many parts the phrases of a language are dealt into, to be scored and ranked.
 DEALT = 64
 
 # Bytes that end a piece, bytes that part words.
@@ -234,6 +234,11 @@ def _after(phrase: Column, words: Column) -> Column:
     return F.substring(phrase, F.length(first) + 2, F.length(phrase))
 
 
+def _part() -> Column:
+    """The part of its language that a phrase is dealt into."""
+    return F.pmod(F.xxhash64("phrase"), F.lit(DEALT)).cast("int")
+
+
 def scored(counts: DataFrame) -> DataFrame:
     """Phrases of two words or more with a, l, r, n and score, by the cut that scores lowest.
 
@@ -248,7 +253,10 @@ def scored(counts: DataFrame) -> DataFrame:
     parts = counts.filter("size > 0").select("lang", "phrase", "n")
     cuts = cuts.join(parts.select("lang", F.col("phrase").alias("first"), F.col("n").alias("l")), ["lang", "first"])
     cuts = cuts.join(parts.select("lang", F.col("phrase").alias("rest"), F.col("n").alias("r")), ["lang", "rest"])
-    cuts = cuts.join(counts.filter("size = 0").select("lang", "n"), "lang")
+    # Each language's total once for each part, so that no language is one task's.
+    every = F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("part")
+    totals = counts.filter("size = 0").select("lang", "n", every)
+    cuts = cuts.withColumn("part", _part()).join(totals, ["lang", "part"])
     score = F.expr(
         f"(cast(a as {wide}) * 1000 * cast(n as {wide})) div (cast(l as {wide}) * cast(r as {wide}))"
     ).cast("long")
@@ -292,7 +300,7 @@ def collocations(
     found = scored(counts).join(_covered(counts, share), ["lang", "phrase"], "left_anti")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # A language's best are the best of the best of its parts.
-    dealt = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(DEALT))).orderBy(*order)
+    dealt = Window.partitionBy("lang", _part()).orderBy(*order)
     best = found.withColumn("rank", F.row_number().over(dealt)).filter(F.col("rank") <= top)
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
     return ranked.filter(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
