@@ -94,13 +94,14 @@ def _cut(rows: DataFrame, url: str, shapes: list[tuple[int, int]]) -> DataFrame:
 def fit(rules: DataFrame, rows: DataFrame, url: str = "url", part_bytes: int = PART_BYTES) -> Rules:
     """Cascades of ``rules`` (host, path, verdict) over the keys of all ``rows``.
 
-    Left out are rules without a host, without a verdict or with one that is neither
-    allow nor block. A null path counts as empty: the whole host. Hosts are lowered.
+    Left out are rules with a verdict that is neither allow nor block, and rules that no
+    URL can meet: without a host, or with signs in host or path that end these.
+    A null path counts as empty: the whole host. Hosts are lowered.
     Of the same rule twice, block wins. The driver holds the shapes, and the bits of all
     parts, about 20 a rule; no URL, key or rule gets there.
     """
     host, path = lowered(F.col("host").cast("string")), F.coalesce(F.col("path").cast("string"), F.lit(""))
-    rules = rules.filter(F.col("verdict").isin(ALLOW, BLOCK) & (F.col("host") != ""))
+    rules = rules.filter(F.col("verdict").isin(ALLOW, BLOCK) & host.rlike("^[^/?#]+$") & path.rlike("^(/[^?#]*)?$"))
     rules = rules.select(
         F.concat(host, path).alias("key"),
         F.struct(labels(host).alias("m"), F.length(path).alias("n")).alias("shape"),

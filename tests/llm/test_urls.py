@@ -61,6 +61,7 @@ def test_odd_rows_and_rules(spark):
     rules = [
         ("COM", "/fr/", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), ("a.com", "/", "allow"),
         (None, "/", "block"), ("", "/", "block"), ("com", "/x", None), ("com", "/fr/1", "maybe"), ("u@com", None, "block"),
+        ("co", "m/fr/", "block"), ("com/fr", "/", "block"), ("a.com", "/x?y", "block"),
     ]
     lower = [((h or "").lower(), p, v) for h, p, v in rules if (h, v) != ("com", "allow")]
     frame = spark.createDataFrame(
