@@ -30,11 +30,13 @@ def small_batches(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``.
 
-    Only where it is unset, as in tests, a folder of this machine stands in and
-    is put into the session, for the operators that follow.
+    Only on a local master may it be unset, as in tests: a folder of this machine
+    stands in and is put into the session, for the operators that follow.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors see")
         folder = f"file://{tempfile.mkdtemp(prefix='llm-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
