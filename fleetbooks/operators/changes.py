@@ -1,7 +1,8 @@
 """Corrections to a table, as a batch: each function gives the new version.
 
-Write a version to a new path (``sources.sinks.write_table``); the version
-being read is never overwritten. Keys are few compared with the table, so the
+Write a version to a new path (``sources.sinks.write_table``), or only the months
+that are touched (``sources.versions``); the version being read is never
+overwritten. Keys are few compared with the table, so the
 table is not sorted or regrouped: a key list that is small enough is sent to
 the table's rows, a long one is joined. Either side of every join here comes from an
 exchange of its own (``common.grouped``, ``common.key_frame``), so that Spark splits a key
@@ -27,17 +28,24 @@ MARKED_PAID = "Marked Paid"
 
 
 def settle(
-    sp: DataFrame, ids: Ids, payer: str, mode: str, as_of: dt.date | str, label: str = SETTLED
+    sp: DataFrame,
+    ids: Ids,
+    payer: str,
+    mode: str,
+    as_of: dt.date | str,
+    label: str = SETTLED,
+    joined: bool = False,
 ) -> DataFrame:
     """Sets payer and mode of the listed spendings and notes it in the reason.
 
     Rows that were already paid are not left out; settling twice changes only
-    the reason again. ``label=MARKED_PAID`` is the single-row form.
+    the reason again. ``label=MARKED_PAID`` is the single-row form. ``joined`` joins a
+    Python list instead of testing it in a predicate.
     """
     listed = F.col("__listed")
     note = with_dated_note("reason", label, dates.day(as_of))
     changed = {"spended_by": F.lit(payer), "mode": F.lit(mode), "reason": note}
-    return flag_ids(sp, ids, "__listed").select(
+    return flag_ids(sp, ids, "__listed", joined=joined).select(
         *[
             F.when(listed, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c)
             for c in sp.columns
@@ -134,8 +142,11 @@ def delete_rows(base: DataFrame, ids: Ids, key: str = "id", joined: bool = False
     return kept.select(*base.columns)
 
 
-def detach_rows(children: DataFrame, ids: Ids, key: str) -> DataFrame:
-    """Children of deleted rows keep their row and lose the reference."""
-    flagged = flag_ids(children, ids, "__gone", key)
+def detach_rows(children: DataFrame, ids: Ids, key: str, joined: bool = False) -> DataFrame:
+    """Children of deleted rows keep their row and lose the reference.
+
+    ``joined`` joins a Python list instead of testing it in a predicate.
+    """
+    flagged = flag_ids(children, ids, "__gone", key, joined)
     kept_key = F.when(~F.col("__gone"), F.col(key)).alias(key)
     return flagged.select(*[kept_key if c == key else F.col(c) for c in children.columns])

@@ -70,6 +70,20 @@ MONTH_COLUMN: dict[str, str] = {
     "company_payments": "month_year",
 }
 
+# Columns that rows are looked up by one at a time; the ids of other tables first of all
+# find the months of a deleted row's children.
+KEYS: dict[str, tuple[str, ...]] = {
+    "vehicles": ("id",),
+    "companies": ("id",),
+    "spendings": ("id", "vehicle_id"),
+    "payments": ("id", "vehicle_id", "company_id"),
+    "employee_advances": ("id",),
+    "hired_vehicles": ("id",),
+    "hired_vehicle_transactions": ("id", "hired_vehicle_id"),
+    "company_sales": ("id",),
+    "company_payments": ("id",),
+}
+
 # How a full listing of each table is ordered: column, newest first or by name.
 LISTING_ORDER: dict[str, tuple[str, bool]] = {
     "vehicles": ("vehicle_no", False),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetbooks.functions.dates import DAY_LABEL
-from fleetbooks.sources.schemas import LISTING_ORDER, MONTH_COLUMN
+from fleetbooks.sources.schemas import KEYS, LISTING_ORDER, MONTH_COLUMN
 
 _TIME_TEXT = "yyyy-MM-dd HH:mm:ss"
 
@@ -64,24 +64,34 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     json_ready(df).write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+# Bloom filters of the key, one for each row group: months do not cluster ids, so without
+# them a lookup by id opens every row group. Parquet keeps the smallest of some
+# sizes that fits the keys it has seen.
+BLOOM_BYTES = 4 << 20
+
+
+def write_rows(df: DataFrame, target: str, table: str) -> None:
+    """A table's rows as Parquet in the directory ``target``, which must not exist.
+
+    Large tables are laid out by month; the rebalance hint lets Spark split a month
+    that holds far more rows than the others over several tasks and merge small ones.
+    Rows lie by date within a file, so date ranges skip row groups.
+    """
+    month = MONTH_COLUMN.get(table)
+    if month is not None:
+        df = df.hint("rebalance", month).sortWithinPartitions(month, LISTING_ORDER[table][0])
+    out = df.write.mode("errorifexists")
+    for key in (c for c in KEYS[table] if c in df.columns):
+        out = out.option(f"parquet.bloom.filter.enabled#{key}", "true")
+        out = out.option(f"parquet.bloom.filter.adaptive.enabled#{key}", "true")
+    out = out.option("parquet.bloom.filter.max.bytes", str(BLOOM_BYTES))
+    (out if month is None else out.partitionBy(month)).parquet(target)
+
+
 def write_table(df: DataFrame, path: str, table: str) -> None:
     """A new version of a table under a new path.
 
     Refuses an existing path, so a version that is being read is never
-    overwritten. Large tables are laid out by month; the rebalance hint lets
-    Spark split a month that holds far more rows than the others over several
-    tasks and merge small ones. Rows lie by date within a file, so date ranges
-    skip row groups.
+    overwritten. ``sources.versions`` writes only the months that a correction touches.
     """
-    target = f"{path.rstrip('/')}/{table}"
-    month = MONTH_COLUMN.get(table)
-    if month is None:
-        df.write.mode("errorifexists").parquet(target)
-    else:
-        (
-            df.hint("rebalance", month)
-            .sortWithinPartitions(month, LISTING_ORDER[table][0])
-            .write.mode("errorifexists")
-            .partitionBy(month)
-            .parquet(target)
-        )
+    write_rows(df, f"{path.rstrip('/')}/{table}", table)
