@@ -125,6 +125,11 @@ def in_order(df: DataFrame, first: Sequence[str]) -> DataFrame:
     return df.select(*first, *[c for c in df.columns if c not in set(first)])
 
 
+def row_count(df: DataFrame) -> Column:
+    """COUNT of rows; kept sums (``operators.sums``) say how many rows each stands for."""
+    return F.sum("rows") if "rows" in df.columns else F.count(F.lit(1))
+
+
 def search_any(df: DataFrame, text: str, cols: Sequence[str] | None = None) -> DataFrame:
     """Rows with ``text`` inside any one cell, ignoring case."""
     return df.filter(any_cell_contains(text, cols or df.columns))

@@ -22,6 +22,7 @@ from fleetbooks.operators.common import (
     in_order,
     newest_first,
     recent,
+    row_count,
     since_nth_newest,
     stacked,
 )
@@ -294,7 +295,7 @@ def expense_summary(
     month = dates.month_label("expense_month").alias("month")
     if by == BY_MONTH:
         rows = sp.groupBy("expense_month").agg(
-            F.sum("amount").alias("total_expense"), F.count(F.lit(1)).alias("transaction_count")
+            F.sum("amount").alias("total_expense"), row_count(sp).alias("transaction_count")
         )
         shown, amount = [month, "total_expense", "transaction_count"], "total_expense"
     elif by == BY_VEHICLE:
@@ -303,7 +304,7 @@ def expense_summary(
         shown, amount = [month, "vehicle_id", "vehicle_no", "monthly_total"], "monthly_total"
     else:
         per_id = sp.groupBy("expense_month", "vehicle_id", "category").agg(
-            F.sum("amount").alias("total_amount"), F.count(F.lit(1)).alias("transaction_count")
+            F.sum("amount").alias("total_amount"), row_count(sp).alias("transaction_count")
         )
         rows = per_id.join(_vehicle_names(veh), "vehicle_id")
         shown = [month, "vehicle_id", "vehicle_no", "category", "total_amount", "transaction_count"]
