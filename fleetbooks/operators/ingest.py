@@ -33,6 +33,9 @@ from fleetbooks.functions.text import (
 )
 from fleetbooks.operators.common import grouped, stacked
 
+# How many pieces entries with a blank name are spread over.
+BLANK_PIECES = 1000
+
 # A condition and what is said about an entry that meets it.
 Reason = tuple[Column, str]
 
@@ -337,22 +340,28 @@ def reject_existing(new: DataFrame, base: DataFrame, key: str, seq: str) -> Data
 def _new_names(
     raw: DataFrame, base: DataFrame, key: str, seq: str, name: Column, row: Mapping[str, Column]
 ) -> Checked:
-    """Entries whose name is neither empty, nor known, nor entered before in the batch."""
+    """Entries whose name is neither empty, nor known, nor entered before in the batch.
+
+    There may be very many blank names. They match nothing, but stay in the one join, so
+    that the entries are read twice and no more: each has a number next to its empty name,
+    which spreads them. A known name has 0 there.
+    """
     entries = raw.withColumn("__name", name)
-    # A blank name needs no look-up to be turned away, and there may be very many.
-    blank = entries.filter(_empty(F.col("__name")))
-    named = entries.filter(~_empty(F.col("__name")))
+    blank = _empty(F.col("__name"))
+    spread = F.when(blank, 1 + F.pmod(F.xxhash64(seq), F.lit(BLANK_PIECES))).otherwise(0)
+    entries = entries.withColumn("__key", F.struct(F.when(~blank, F.col("__name")).alias("name"), spread.alias("piece")))
     # One look-up for both questions, so that the join's rows are not needed by name again.
     names = grouped(
         stacked(
-            named.select("__name", F.col(seq).alias("__seq")),
+            entries.filter(~blank).select("__name", F.col(seq).alias("__seq")),
             base.select(F.col(key).alias("__name"), F.lit(True).alias("__known")),
         ),
         ["__name"],
         F.min("__seq").alias("__first"),
         F.max("__known").alias("__known"),
     )
-    joined = stacked(named.join(names, "__name", "left"), blank)
+    whole = F.struct(F.col("__name").alias("name"), F.lit(0).cast("long").alias("piece"))
+    joined = entries.join(names.select(whole.alias("__key"), "__first", "__known"), "__key", "left")
     reasons = [
         (_empty(F.col("__name")), f"missing {key}"),
         (F.col("__known").isNotNull(), f"{key} already exists"),

@@ -6,18 +6,31 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fleetbooks.operators.common import stacked
+from fleetbooks.operators.common import grouped, stacked
 
 
 def duplicates(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Values of ``cols`` that occur more than once, with their number of rows.
 
-    NULL is a value here; filter it out first where it may repeat.
+    NULL is a value here; filter it out first where it may repeat. Wide values are counted
+    by a hash of eight bytes first, and only rows whose hash comes again are grouped
+    by the values themselves, which tells values that share a hash apart. So the
+    shuffle has the hashes of all rows and the text of suspects.
     """
+    kinds = [df.schema[c].dataType for c in cols]
+    if len(cols) > 2 or any(isinstance(k, (T.StringType, T.BinaryType)) for k in kinds):
+        keyed = df.select(*cols, _hash(cols).alias("__hash"))
+        again = grouped(keyed, ["__hash"], F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1)
+        df = keyed.join(again.select("__hash"), "__hash", "left_semi")
     return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
 
 
+def _hash(cols: Sequence[str]) -> Column:
+    return F.xxhash64(*cols)
+
+
 SAME_ENTRY = ("vehicle_id", "date", "category", "reason", "amount")
 
 
