@@ -260,7 +260,7 @@ _AMOUNT_SQL = (
 )
 
 
-def _spending_edits(b: Books):
+def spending_edits(b: Books):
     fields = {
         "vehicle_id": F.lit("3"),
         "date": F.lit("2000-1-2"),
@@ -296,7 +296,7 @@ PAIRS += [
     _edit(
         "edit_spendings",
         lambda b: b.spendings(),
-        _spending_edits,
+        spending_edits,
         "spendings",
         "spending_keys",
         "amount",
