@@ -45,6 +45,8 @@ _SIGNS = re.escape("".join(LEET) + HIDDEN)
 _APART = re.compile(
     r"(?<![^\W_])(?:(?:[^\W_](?: |[.\-_*~ ]{1,3})){3,}|(?:[^\W_](?: |[.\-_~ ]{1,3})){2})[^\W_](?![^\W_])"
 )
+# The second and third of such letters: a quick look at texts that have none.
+_SECOND = re.compile(r"[.\-_*~ ][^\W_][.\-_*~ ]{1,3}[^\W_](?![^\W_])")
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGE = re.compile(r"^[^\w$@!|+(<{€£]+|[^\w$@€£]+$|([$@€£])\1\1[^\w]*$")
 _SIGN = re.compile(f"[{_SIGNS}]")
@@ -137,7 +139,7 @@ class Reader:
     ) -> Iterator[tuple[str, list[str]]]:
         """Runs of single letters in a lower-case text, and the words they are read as; only
         the ``wanted`` ones, if that is given. Runs that are one of its tokens are read there."""
-        for run in _APART.finditer(text):
+        for run in _APART.finditer(text) if _SECOND.search(text) else ():
             if run[0] not in tokens and (wanted is None or wanted(run[0])):
                 yield run[0], _WORD.findall(self.apart(run[0]))
 
@@ -211,8 +213,8 @@ class Scorer:
         """Can a token have a learned feature, as it stands or in some reading?"""
         bare = token.rstrip(".,;:!?")
         if bare.isalpha():
-            if bare[: PREFIXES[0]] in self.roots or not _DOUBLED.search(bare):
-                return bare[: PREFIXES[0]] in self.roots
+            if bare[: PREFIXES[0]] in self.roots:
+                return True
             heads = {""}
             for run in islice(_RUN.finditer(bare), PREFIXES[0]):
                 c = run[0][0]
@@ -246,11 +248,19 @@ class Scorer:
         if len(self.known) >= REMEMBERED:
             self.known.clear()
         found: set[int] = set()
-        known, text = self.known, text.lower()
+        known, roots, text = self.known, self.roots, text.lower()
         tokens = set(text.split())
         for token in tokens:
             own = known.get(token)
             if own is None:
+                bare = token.rstrip(".,;:!?")
+                head = bare[: PREFIXES[0]]
+                # Most words are told from their first letters: a doubled one changes these
+                # only if it is the first or second.
+                if restored is None and head not in roots and bare.isalpha():
+                    if head[:1] != head[1:2] != head[2:]:
+                        known[token] = ()
+                        continue
                 own = self.token(token, restored)
             if own:
                 found.update(own)

@@ -196,6 +196,16 @@ def test_scores_do_not_depend_on_what_is_told(frame, toxic):
     assert {r["doc_id"]: r["score"] for r in short.collect()} == told
 
 
+def test_texts_without_letters_set_apart_are_told():
+    draw = random.Random(12)
+    signs = ["a", "b", "7", "\u00e9", "\u2014", "\U0001f600", "\u00b2", "_", " ", " ", ".", "-", "*", "~", "\n", ",", "ab", "the "]
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randint(0, 14))) for _ in range(30_000)]
+    texts += ["s c u m", "ab\u2014s c u", "s c u\u2014ab", "\u2014s.c.u", "s_c_u", "x/s..c..u..m"]
+    has = [t for t in texts if toxicity._APART.search(t)]
+    assert len(has) > 200 and all(toxicity._SECOND.search(t) for t in has)
+    assert not toxicity._SECOND.search("a house and I had a 2nd one")
+
+
 @pytest.mark.parametrize("roots", [("idiot", "st*", "mo"), ("aab*", "bba", "a"), ("xyz",)])
 def test_beginnings_against_all_readings(roots):
     import itertools
