@@ -19,7 +19,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hasher:
-    """Hashes of any stretches of a byte string, from one running sum."""
+    """Hashes of any stretches of a byte string, from one running sum.
+
+    A polynomial modulo 2**64: stretches of thousands of bytes can be made up that differ and have
+    one hash. What must not depend on that compares the bytes, or a second hash, as well.
+    """
 
     def __init__(self) -> None:
         self.up, self.down = powers(1 << 16)
