@@ -62,12 +62,14 @@ class Books:
         return df if month is None else df.filter(in_month(date, month))
 
     def vehicles(self) -> DataFrame:
+        key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+        day = F.date_add(F.lit(dt.date(2000, 1, 1)), (key % 9000).cast("int"))
         return self.given("supplier").select(
-            F.col("s_suppkey").alias("id"),
+            key.alias("id"),
             F.col("s_name").alias("vehicle_no"),
-            F.lit(None).cast("string").alias("owner_name"),
-            F.lit(None).cast("string").alias("contact_number"),
-            F.lit(None).cast("timestamp_ntz").alias("created_at"),
+            F.when(key % 4 == 1, "").when(key % 4 > 1, F.concat(F.lit("Owner "), _text(nation))).alias("owner_name"),
+            F.when(nation % 5 > 0, F.concat(F.lit("98-"), _text(nation * 1000 + key))).alias("contact_number"),
+            F.when(nation != 3, day.cast("timestamp_ntz")).alias("created_at"),
         )
 
     def companies(self) -> DataFrame:
@@ -290,8 +292,10 @@ class OddBooks(Books):
 VIEWS: dict[str, str] = {
     "vehicles": """
 SELECT s_suppkey AS id, s_name AS vehicle_no,
-       CAST(NULL AS STRING) AS owner_name, CAST(NULL AS STRING) AS contact_number,
-       CAST(NULL AS TIMESTAMP) AS created_at
+       CASE WHEN s_suppkey % 4 = 1 THEN '' WHEN s_suppkey % 4 > 1 THEN 'Owner ' || s_nationkey END AS owner_name,
+       CASE WHEN s_nationkey % 5 > 0 THEN '98-' || (s_nationkey * 1000 + s_suppkey) END AS contact_number,
+       CASE WHEN s_nationkey <> 3
+            THEN CAST(DATE '2000-01-01' + CAST(s_suppkey % 9000 AS INTEGER) AS TIMESTAMP) END AS created_at
 FROM supplier""",
     "companies": "SELECT c_custkey AS id, c_name AS name FROM customer",
     "spendings": """

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetbooks.functions.predicates import any_cell_contains, contains_text
@@ -16,6 +16,10 @@ PAIRS_PER_PIECE = 10_000_000
 ROWS_PER_PIECE = 1_000_000
 
 
+# Different days of a list that are broadcast, some 40 bytes each.
+MOST_DAYS = 200_000
+
+
 def _tie_break(df: DataFrame, used: Iterable[str], everything: bool) -> list[Column]:
     rest = [c for c in df.columns if c not in set(used)]
     if not everything:
@@ -40,6 +44,34 @@ def by_name(df: DataFrame, *names: str) -> DataFrame:
     return df.orderBy(*keys, *_tie_break(df, names, False))
 
 
+def newest_first_in_pieces(df: DataFrame, date: str, pieces: int, key: str = "id") -> DataFrame:
+    """``newest_first(df, date)`` for a long list: partitions in order, each sorted on its own.
+
+    A total order by ``orderBy`` runs the plan below it twice, the first time with all
+    columns, to find where ranges begin. Here one pass over ``date`` and ``key`` counts the
+    days; a row's piece then follows from its day's place among all rows and, within the day, from
+    where its key lies between the day's first and last. So a day that holds most rows is spread
+    too, evenly if its keys are. A list of more than ``MOST_DAYS`` days is ordered as before.
+    """
+    c, k = F.col(date), F.col(key)
+    # The days are broadcast, so they are counted first; this reads one column.
+    if df.select(c).distinct().count() > MOST_DAYS:
+        return newest_first(df, date)
+    days = df.groupBy(c.alias("__day")).agg(
+        F.count(F.lit(1)).alias("__n"), F.min(k).alias("__low"), F.max(k).alias("__high")
+    )
+    newer = Window.orderBy(F.col("__day").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("__newer", F.coalesce(F.sum("__n").over(newer), F.lit(0)))
+    total = df.agg(F.count(F.lit(1))).scalar()
+    within = (k - F.col("__low")).cast("double") / (F.col("__high") - F.col("__low") + 1)
+    # A missing key comes last within its day.
+    place = F.col("__newer") + F.col("__n") * F.coalesce(within, F.lit(1.0))
+    piece = F.least(F.floor(place * pieces / total).cast("int"), F.lit(pieces - 1))
+    rows = df.join(F.broadcast(days), c.eqNullSafe(F.col("__day")))
+    rows = rows.repartitionById(pieces, piece).select(*df.columns)
+    return rows.sortWithinPartitions(c.desc_nulls_first(), k.asc_nulls_last())
+
+
 def since_nth_newest(
     df: DataFrame, n: int, date: str, among: DataFrame | None = None
 ) -> DataFrame:

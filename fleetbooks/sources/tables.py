@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetbooks.operators.common import by_name, newest_first
+from fleetbooks.operators.common import by_name, newest_first, newest_first_in_pieces
 from fleetbooks.sources.schemas import LISTING_ORDER, SCHEMAS
 
 
@@ -52,12 +52,18 @@ def load_jdbc(
     return spark.read.format("jdbc").option("dbtable", table).options(**props).load()
 
 
-def listing(df: DataFrame, table: str, ordered: bool = True) -> DataFrame:
-    """All columns of a table in the order its page lists them."""
+def listing(df: DataFrame, table: str, ordered: bool = True, pieces: int | None = None) -> DataFrame:
+    """All columns of a table in the order its page lists them.
+
+    ``pieces`` says how many partitions a long list by date shall have, newest first;
+    it is then put in order without a range partitioning, which would read all of it twice.
+    """
     if not ordered:
         return df
     column, newest = LISTING_ORDER[table]
-    return newest_first(df, column) if newest else by_name(df, column)
+    if not newest:
+        return by_name(df, column)
+    return newest_first(df, column) if pieces is None else newest_first_in_pieces(df, column, pieces)
 
 
 def choices(df: DataFrame, id: str, label: str) -> DataFrame:

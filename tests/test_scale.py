@@ -242,6 +242,31 @@ def test_sorted_lists_spread_one_sale_and_one_day(spark, skewed):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_long_lists_are_ordered_without_a_range_exchange(spark, tmp_path):
+    """A third of the rows on one day, a row without date, one without id."""
+    hot = spark.range(0, 20000, 1, 4).selectExpr("id * 3 AS id", f"DATE '{M}' AS date", "'a' AS category")
+    rest = spark.range(0, 40000, 1, 4).selectExpr("id * 3 + 1 AS id", "date_add(DATE '1997-01-01', CAST(id % 900 AS INT)) AS date", "'b'")
+    odd = spark.createDataFrame([(5, None, "c"), (None, None, "c")], "id long, date date, category string")
+    hot.union(rest).union(odd).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    found = tables.listing(df, "spendings", pieces=12)
+    assert "rangepartitioning" not in plan(found) and "shufflepartitionidpassthrough" in plan(found)
+    assert rows(found) == rows(tables.listing(df, "spendings"))
+    # Twelve pieces of about one size, although one day has a third of the rows.
+    sizes = [r[0] for r in found.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) == 12 and max(sizes) < 2 * 60002 / 12
+    assert rows(tables.listing(df.limit(0), "spendings", pieces=3)) == []
+
+
+def test_a_list_of_very_many_days_is_ordered_as_before(spark, monkeypatch):
+    from fleetbooks.operators import common
+
+    monkeypatch.setattr(common, "MOST_DAYS", 10)
+    sp = Books(spark, SF).spendings()
+    found = tables.listing(sp, "spendings", pieces=4)
+    assert "rangepartitioning" in plan(found) and found.count() == sp.count()
+
+
 @pytest.mark.parametrize("key", ["payer_balance", "payer_balance_fixed_list"])
 def test_payer_balance_reads_spendings_once(spark, key):
     df = PAIRS[key].run(spark, SF)
