@@ -187,7 +187,9 @@ class Scorer:
         self.reader, self.place = Reader(cost), place
         self.roots = {x.rstrip("*")[: PREFIXES[0]] for x in place}
         self.stems = {root[:k] for root in self.roots for k in range(len(root))}
+        # Tokens met before: their features, and those without any.
         self.known: dict[str, tuple[int, ...]] = {}
+        self.empty: set[str] = set()
 
     def reaches(self, places: list[list[tuple[str, float]]]) -> bool:
         """Has any reading of a lattice a word that begins like a learned feature?"""
@@ -227,15 +229,17 @@ class Scorer:
 
     def token(self, token: str, restored: list[tuple[str, str]] | None) -> tuple[int, ...]:
         if restored is None and not self.may_count(token):
-            self.known[token] = ()
+            self.empty.add(token)
             return ()
         words, disguised = self.reader.token(token)
         found = tuple(k for w in words for k in self.word(w))
         if disguised and restored is not None:
             # Looked at each time, to be told of.
             restored.append((token, " ".join(words)))
-        else:
+        elif found:
             self.known[token] = found
+        else:
+            self.empty.add(token)
         return found
 
     def word(self, word: str) -> list[int]:
@@ -245,12 +249,13 @@ class Scorer:
 
     def of(self, text: str, restored: list[tuple[str, str]] | None = None) -> list[int]:
         """The features of a text; what was disguised goes to ``restored``, if that is given."""
-        if len(self.known) >= REMEMBERED:
+        if len(self.empty) >= REMEMBERED:
+            self.empty.clear()
             self.known.clear()
         found: set[int] = set()
-        known, roots, text = self.known, self.roots, text.lower()
+        known, empty, roots, text = self.known, self.empty, self.roots, text.lower()
         tokens = set(text.split())
-        for token in tokens:
+        for token in tokens - empty:
             own = known.get(token)
             if own is None:
                 bare = token.rstrip(".,;:!?")
@@ -259,7 +264,7 @@ class Scorer:
                 # only if it is the first or second.
                 if restored is None and head not in roots and bare.isalpha():
                     if head[:1] != head[1:2] != head[2:]:
-                        known[token] = ()
+                        empty.add(token)
                         continue
                 own = self.token(token, restored)
             if own:

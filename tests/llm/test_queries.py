@@ -21,8 +21,11 @@ COLUMNS = {
     "op8_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
     "op9_extraction": "page_id bigint, url string, text string, n_chars bigint",
     "op10_neighbours": "query_id bigint, rank int, vec_id bigint, score double",
+    "op11_collocations": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
+    "op12_manifest": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
+    "op13_urls": "page_id bigint, host string, path string, rule string, verdict string",
 }
-TABLE = {"op9_extraction": "pages", "op10_neighbours": "embeddings"}
+TABLE = {"op9_extraction": "pages", "op10_neighbours": "embeddings", "op13_urls": "pages"}
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +44,7 @@ def found(spark):
 
 def test_every_operator_has_one_query():
     assert set(queries.QUERIES) == set(COLUMNS)
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("key", list(COLUMNS))
@@ -49,6 +52,10 @@ def test_columns_and_whole_tables(spark, found, key):
     df, rows = found(key)
     want = [tuple(c.split(" ")) for c in COLUMNS[key].split(", ")]
     assert [x for x in df.dtypes if x in want] == want
+    if key == "op11_collocations":
+        # Rows of languages, not of documents.
+        assert all(r["a"] >= 100 and 1 <= r["rank"] <= 2000 for r in rows)
+        return
     ids = {r[0] for r in rows}
     table = spark.read.parquet(f"{SF}/{TABLE.get(key, 'documents')}.parquet")
     if key == "op10_neighbours":
@@ -66,6 +73,19 @@ def test_same_rows_as_the_sql(found, key):
     assert _bag(df.columns, [tuple(r) for r in rows]) == _bag(columns, cur.fetchall())
 
 
+def test_collocations_of_a_table_that_has_some(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in queries.op11_collocations(spark, sf_dir).collect()]
+    assert rows and sorted(rows) == sorted(connect(sf_dir).execute(queries.SQL["op11_collocations"]).fetchall())
+
+
+def test_tampered_rows_do_not_verify(found):
+    rows = found("op12_manifest")[1]
+    hit = {r["doc_id"] for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 7 == 0}
+    assert hit and {r["doc_id"] for r in rows if not r["verified"]} == hit
+    assert len({r["root"] for r in rows}) == 1 and len({r["subroot"] for r in rows}) > 1
+
+
 def _held(id):
     return zlib.crc32(str(id).encode()) % 4 == 2
 
